@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lanternfish.llm import exact_dedup, mixing, token_counts
+from lanternfish.llm import exact_dedup, language_id, lm_scoring, mixing, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op3_language_id": language_id.query,
         "op5_token_counts": token_counts.query,
+        "op7_lm_scoring": lm_scoring.query,
         "op10_mixing": mixing.query,
     }
 
