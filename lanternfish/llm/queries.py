@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternfish.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, token_counts
+from lanternfish.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.query,
         "op3_language_id": language_id.query,
         "op5_token_counts": token_counts.query,
+        "op6_substring_dedup": substring_dedup.query,
         "op7_lm_scoring": lm_scoring.query,
         "op8_near_dedup": near_dedup.query,
         "op10_mixing": mixing.query,
