@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import uuid
 
@@ -48,13 +49,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver ends.
+    The table goes when the driver ends. Shuffle files that only the plan of df needed are let go now: Spark
+    deletes them once the driver's objects for them are collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession, df: DataFrame) -> None:
