@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lanternfish.llm import exact_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts
+from lanternfish.llm import decontamination, exact_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_decontamination": decontamination.query,
         "op3_language_id": language_id.query,
         "op5_token_counts": token_counts.query,
         "op6_substring_dedup": substring_dedup.query,
