@@ -202,7 +202,8 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
     members = classes.select("node", "n", "rep").join(families.select("node", F.col("component").alias("family")), "node")
     members = materialize(members.select("node", "n", "rep", "family"), "families")
     tasks, split = _tasks(members, percent)
-    work = tasks.select("node", "task", "rep").join(docs, tasks["rep"].eqNullSafe(docs["key"])).select("task", "node", "text")
+    # Merge join at every size: members grow with the input.
+    work = tasks.select("node", "task", "rep").join(docs.hint("merge"), tasks["rep"].eqNullSafe(docs["key"])).select("task", "node", "text")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "u long, v long")
     links = materialize(links.distinct(), "links")
