@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import materialize, release
+from lanternfish.llm._shared import lean, materialize, release
 
 #: Edges that a task holds at once while it contracts them.
 LOCAL_EDGES = 200_000
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType.simpleString()
     clean = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = materialize(clean.mapInArrow(_contract, f"u {kind}, v {kind}").distinct(), "components")
+    now = materialize(clean.mapInArrow(lean(_contract), f"u {kind}, v {kind}").distinct(), "components")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.mapInArrow(_contract, f"u {kind}, v {kind}").distinct()
+        large = large.mapInArrow(lean(_contract), f"u {kind}, v {kind}").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))

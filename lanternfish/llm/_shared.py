@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
+import inspect
 import math
 import uuid
 
@@ -80,6 +83,50 @@ def clash_free(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held whole on both sides of the worker's pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows where it has Spark's default or more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages and are many."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(task):
+    """A function of Arrow batches (or of tables) that gives memory back at its end."""
+
+    def over_batches(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    def over_table(table):
+        try:
+            return task(table)
+        finally:
+            give_back()
+
+    def over_two(left, right):
+        try:
+            return task(left, right)
+        finally:
+            give_back()
+
+    if inspect.isgeneratorfunction(task):
+        return over_batches
+    return over_table if len(inspect.signature(task).parameters) == 1 else over_two
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternfish.llm._shared import clash_free, partitions_for, text_bytes
+from lanternfish.llm._shared import clash_free, lean, partitions_for, small_batches, text_bytes
 
 #: Widths of the successive digits in bytes; the last repeats.
 WIDTHS = (8, 24, 96, 384, 1536, 6144, 24576, 98304)
@@ -110,7 +110,7 @@ def _heavy_trie(df: DataFrame, text: str, key: str, capacity: float) -> list[dic
 
         counted = (
             df.select(F.col(f"`{text}`"), F.col(f"`{key}`").cast("long"))
-            .mapInArrow(digits, "node long, digit binary, ended boolean, n long, weight long, max_id long")
+            .mapInArrow(lean(digits), "node long, digit binary, ended boolean, n long, weight long, max_id long")
             .groupBy("node", "digit", "ended")
             .agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("max_id").alias("max_id"))
             .filter((F.col("weight") > capacity) & (F.col("n") > 1))
@@ -140,6 +140,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
     payload: columns to return besides (default: all). An empty table gives no rows.
     """
     spark = df.sparkSession
+    small_batches(spark)
     df = clash_free(df, *OUT)
     payload = df.columns if payload is None else payload
     total = df.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + ROW_WEIGHT)).first()[0] or 0
@@ -222,8 +223,8 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
             yield from results(held)
 
     source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(payload, names, strict=True)), F.col(f"`{text}`").alias("b_text"), F.col(f"`{key}`").cast("long").alias("b_key"))
-    dealt = source.mapInArrow(route, routed_schema).repartition(parts, "b_bucket").sortWithinPartitions("b_bucket")
-    out = dealt.mapInArrow(solve, out_schema)
+    dealt = source.mapInArrow(lean(route), routed_schema).repartition(parts, "b_bucket").sortWithinPartitions("b_bucket")
+    out = dealt.mapInArrow(lean(solve), out_schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, payload, strict=True)), *OUT)
 
 

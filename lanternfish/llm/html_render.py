@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import clash_free
+from lanternfish.llm._shared import clash_free, lean, small_batches
 
 OUT = ("title", "rendered", "n_blocks")
 TAG = re.compile(
@@ -381,6 +381,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
     as browsers do. Repeated rows each give a row. Columns of df named like an output column are replaced. An
     empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     df = clash_free(df, *OUT)
     width = len(df.columns)
     names = [f"c{k}" for k in range(width)] + list(OUT)
@@ -398,7 +399,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
 
     schema = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(df.columns))
     source = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)), F.col(f"`{html}`").alias("b_html"))
-    out = source.mapInArrow(run, ", ".join(x for x in (schema, "title string, rendered string, n_blocks long") if x))
+    out = source.mapInArrow(lean(run), ", ".join(x for x in (schema, "title string, rendered string, n_blocks long") if x))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), *OUT)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import clash_free, crc_mod
+from lanternfish.llm._shared import clash_free, crc_mod, lean, small_batches
 from lanternfish.llm._tokens import mix64
 
 ORDER = 5
@@ -25,7 +25,7 @@ SAMPLE_CHARS = 6_000_000
 #: Standard deviations beyond which a text is rejected, at least.
 LEAST_Z = 8.0
 #: Words kept in a worker's cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Weight of a nat per character in the confidence score.
 SHARPNESS = 8.0
 START, END = 1, 2
@@ -212,6 +212,7 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
     (nothing to learn from) all texts do. Ties go to the language first in code-point order. Columns of df
     named like an output column are replaced. An empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     df = clash_free(df, *OUT)
     width = len(df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -247,7 +248,7 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
     names = [f"c{k}" for k in range(width)] + list(OUT)
     schema = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(df.columns))
     source = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)), F.col(f"`{text}`").alias("b_text"))
-    out = source.mapInArrow(score, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    out = source.mapInArrow(lean(score), f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), *OUT)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.llm._graph import connected_components
-from lanternfish.llm._shared import materialize
+from lanternfish.llm._shared import lean, materialize, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 
 SHINGLE = 5
@@ -190,9 +190,10 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
     key = component_id; a null key is no component_id unless all keys of a group are null. Repeated rows fall
     into one group. An empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     prepared = docs.withColumn("finger", F.xxhash64("text"))
-    signed = materialize(prepared.mapInArrow(_sign, "key long, finger long, n long, node long, bands array<long>"), "minhash")
+    signed = materialize(prepared.mapInArrow(lean(_sign), "key long, finger long, n long, node long, bands array<long>"), "minhash")
     classes = signed.filter("n > 0").groupBy("node", "n").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     keys = classes.select("node", F.explode("bands").alias("band"))
@@ -205,7 +206,7 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
     # Merge join at every size: members grow with the input.
     work = tasks.select("node", "task", "rep").join(docs.hint("merge"), tasks["rep"].eqNullSafe(docs["key"])).select("task", "node", "text")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "u long, v long")
+    links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(lean(_confirm(percent)), "u long, v long")
     links = materialize(links.distinct(), "links")
     if split:
         groups = connected_components(links)

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import clash_free, materialize
+from lanternfish.llm._shared import clash_free, lean, materialize, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 
 WINDOW = 50
 #: A null key is larger than any other: it makes no other document's words repeats.
 LAST = (1 << 63) - 1
+#: Seeds that a task holds at once to send equal extensions only once.
+SEEDS_HELD = 400_000
 OUT = ("n_words", "n_removed", "spans", "kept_text")
 SEEDS = "key long, finger int, a long, f long, s0 int, cnt int, dup boolean"
 
@@ -52,11 +54,25 @@ def _extents(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: n
 
 
 def _seed(window: int):
+    def collapse(parts):
+        """One batch of seeds; of equal extensions only those of the smallest key go on."""
+        key, finger, a_, f, s0, cnt = (np.concatenate(p) for p in parts)
+        order = np.lexsort((s0, key, f, a_))
+        same = np.zeros(len(order), dtype=bool)
+        sa, sf, sk = a_[order], f[order], key[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (sa[1:] != sa[:-1]) | (sf[1:] != sf[:-1])
+        head = sk[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same[order] = sk > head
+        cols = [pa.array(key), pa.array(finger, pa.int32()), pa.array(a_), pa.array(f), pa.array(s0, pa.int32()), pa.array(cnt, pa.int32()), pa.array(same)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "finger", "a", "f", "s0", "cnt", "dup"])
+
     def seed(batches):
+        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        held = 0
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             keys, fingers = (batch.column(c).to_numpy() for c in (0, 2))
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for a, b in chunks(texts):
                 hashes, lengths = hash_docs(texts[a:b])
                 ends = np.cumsum(lengths)
@@ -68,18 +84,12 @@ def _seed(window: int):
                         m = len(anchor)
                         for part, x in zip(parts, (np.full(m, keys[row]), np.full(m, fingers[row]), anchor.view(np.int64), extent.view(np.int64), first, count), strict=True):
                             part.append(x)
-            if not parts[0]:
-                continue
-            key, finger, a_, f, s0, cnt = (np.concatenate(p) for p in parts)
-            order = np.lexsort((s0, key, f, a_))  # of equal extensions within the batch only the first goes on
-            same = np.zeros(len(order), dtype=bool)
-            sa, sf, sk = a_[order], f[order], key[order]
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (sa[1:] != sa[:-1]) | (sf[1:] != sf[:-1])
-            head = sk[np.flatnonzero(new)][np.cumsum(new) - 1]
-            same[order] = sk > head
-            cols = [pa.array(key), pa.array(finger, pa.int32()), pa.array(a_), pa.array(f), pa.array(s0, pa.int32()), pa.array(cnt, pa.int32()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "finger", "a", "f", "s0", "cnt", "dup"])
+                        held += m
+            if held >= SEEDS_HELD:
+                yield collapse(parts)
+                parts, held = [[], [], [], [], [], []], 0
+        if held:
+            yield collapse(parts)
 
     return seed
 
@@ -112,7 +122,7 @@ def _windows(window: int):
 
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """(key, finger, from, to): word ranges of rows (key, text, finger) that windows of smaller keys cover."""
-    seeds = materialize(rows.mapInArrow(_seed(window), SEEDS), "seeds")
+    seeds = materialize(rows.mapInArrow(lean(_seed(window)), SEEDS), "seeds")
     local = seeds.filter("dup").select("key", "finger", "s0", "cnt")
     live = seeds.filter("NOT dup").drop("dup")
     shared = live.groupBy("a").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("a")
@@ -124,7 +134,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     firsts = judged.filter("least = key").join(several, "a")
     wanted = firsts.groupBy("key", "finger").agg(F.collect_list(F.struct("s0", "cnt", "a")).alias("wanted"))
     wins = wanted.join(rows, ["key", "finger"]).select("key", "finger", "text", "wanted")
-    wins = materialize(wins.mapInArrow(_windows(window), "a long, w long, key long, finger int, s int"), "windows")
+    wins = materialize(wins.mapInArrow(lean(_windows(window)), "a long, w long, key long, finger int, s int"), "windows")
     again = wins.groupBy("a", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("a", "w", "least")
     part = wins.join(again, ["a", "w"]).filter("least < key").select("key", "finger", F.col("s").alias("s0"), F.lit(1).alias("cnt"))
     found = local.unionByName(full).unionByName(part)
@@ -167,6 +177,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     equal keys never remove each other's words. Texts shorter than a window stay whole. Columns of df named
     like an output column are replaced. An empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     df = clash_free(df, *OUT)
     payload = df.columns if payload is None else payload
     names = [f"c{k}" for k in range(len(payload))]
@@ -177,7 +188,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     spans = found.groupBy("key", "finger").agg(F.collect_list(F.struct("from", "to")).alias("found"))
     joined = wide.join(spans, ["key", "finger"], "left").select(*names, "text", "found")
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, payload, strict=True))
-    out = joined.mapInArrow(_strip(len(names)), f"{schema}, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_text string")
+    out = joined.mapInArrow(lean(_strip(len(names))), f"{schema}, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_text string")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, payload, strict=True)), *OUT)
 
 

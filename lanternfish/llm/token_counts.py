@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm._shared import lean, small_batches
+
 #: Rows from which the table of frequent pre-tokens is fitted, and the most entries it may have.
 SAMPLE_ROWS = 2000
 TABLE_ENTRIES = 1 << 16
@@ -66,6 +68,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
     does by default. Rows with equal or null keys are counted each on its own. An empty table gives no rows.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.count()
     keep = min(1.0, SAMPLE_ROWS / max(1, rows))
     sample = df.select(F.col(f"`{text}`").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
@@ -82,7 +85,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
         top = [x for x in counts.most_common(TABLE_ENTRIES // 4) if len(x[0]) <= CACHE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.int64())], names=["piece", "n"])
 
-    top = sample.coalesce(8).mapInArrow(frequent, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
+    top = sample.coalesce(8).mapInArrow(lean(frequent), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
     tokenizer, _, _ = _splitter(path)
     pieces = [r["piece"] for r in top]
     table = spark.sparkContext.broadcast({p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True)})
@@ -97,7 +100,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(lean(count), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm import html_render
 from lanternfish.llm._graph import connected_components
-from lanternfish.llm._shared import materialize
+from lanternfish.llm._shared import lean, materialize, small_batches
 
 #: (host, path, verdict) of the query's rules.
 RULES = (
@@ -103,6 +103,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
     gives no rows.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     if len(rules) > MOST_RULES:
         raise ValueError(f"at most {MOST_RULES} rules")
     shared = spark.sparkContext.broadcast(Rules(rules))
@@ -126,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
     kind = pages.schema[key].dataType.simpleString()
     schema = f"key {kind}, host string, path string, rule string, own string, node long, aliases array<struct<node:long,verdict:string>>"
     rows = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.col(f"`{html}`"))
-    read_pages = materialize(rows.mapInArrow(read, schema), "urls")
+    read_pages = materialize(rows.mapInArrow(lean(read), schema), "urls")
     far = read_pages.select("node", F.explode("aliases").alias("to"))
     edges = far.select(F.col("node").alias("u"), F.col("to.node").alias("v"))
     judged = read_pages.select("node", F.col("own").alias("verdict")).unionByName(far.select("to.node", "to.verdict"))
@@ -134,7 +135,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
         pairs = redirects.select(F.struct(F.lit(None).cast("string").alias("h"), "from_url").alias("a"), F.struct(F.lit(None).cast("string").alias("h"), "to_url").alias("b"))
         ends = pairs.select(F.monotonically_increasing_id().alias("key"), F.col("a.from_url").alias("u0"), F.col("b.to_url").alias("u1"))
         schema2 = "key long, host string, path string, rule string, own string, node long, aliases array<struct<node:long,verdict:string>>"
-        both = materialize(ends.select("key", F.explode(F.array("u0", "u1")).alias("url"), F.lit("").alias("html")).mapInArrow(read, schema2), "redirects")
+        both = materialize(ends.select("key", F.explode(F.array("u0", "u1")).alias("url"), F.lit("").alias("html")).mapInArrow(lean(read), schema2), "redirects")
         edges = edges.unionByName(both.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v")).select("u", "v"))
         judged = judged.unionByName(both.select("node", F.col("own").alias("verdict")))
     groups = materialize(connected_components(edges), "aliases")
