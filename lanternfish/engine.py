@@ -73,12 +73,14 @@ class Engine:
 
     def corpus(self) -> DataFrame:
         """All searchable chunks with layer, pos and row: corpus order."""
+        return chunking.layers(self._docs_placed(), self.store.load())
+
+    def _docs_placed(self) -> DataFrame:
         docs = self.docs()
         if "embedding" not in docs.columns:
             docs = embed.encode(docs, self.backend)
         # Files in name order, then windows: one number per chunk of a small layer.
-        docs = docs.withColumn("row", F.dense_rank().over(_by_name()).cast("long") * (1 << 20) + F.col("order"))
-        return chunking.layers(docs, self.store.load())
+        return docs.withColumn("row", F.dense_rank().over(_by_name()).cast("long") * (1 << 20) + F.col("order"))
 
     # -- search ------------------------------------------------------------------
 
@@ -91,11 +93,20 @@ class Engine:
         vectors = self.backend.encode(list(queries)).tolist() if queries else []
         rows = self.spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(queries, vectors, strict=True))], "qid long, query string, query_vec array<float>")
         corpus = self.corpus()
-        best = hybrid.search(corpus.select(*KEYS, "content", "embedding"), rows, KEYS, k, s.vector_weight, s.keyword_weight)
+        best = hybrid.search(corpus.select(*KEYS, "content", "embedding"), rows, KEYS, k, s.vector_weight, s.keyword_weight, self._index(rows), self.keyword_stats())
         wide = hybrid.materialise(best, corpus.drop("embedding"), KEYS).join(F.broadcast(rows.select("qid", "query")), "qid")
         item = hybrid.evidence(F.col("content"), F.col("source"), F.col("type"), F.col("confidence"), F.col("vector_score"), F.col("keyword_score"), F.col("id"))
         return wide.select("qid", "query", "rank", item.alias("evidence")).orderBy("qid", "rank")
 
+    def _index(self, queries: DataFrame) -> DataFrame | None:
+        """Postings of the queries' terms in both layers, stored ones as they are; None where the store keeps none."""
+        stored = self.store.postings()
+        if stored is None:
+            return None
+        docs = self._docs_placed().withColumn("layer", F.lit(0))
+        stored = bm25.of_terms(stored.withColumn("layer", F.lit(1)), queries)
+        return bm25.matches(docs, KEYS, queries).unionByName(stored.select(*KEYS, "dl", "term", "tf"))
+
     def search(self, query: str, top_k: int | None = None) -> DataFrame:
         return self.search_many([query], top_k)
 
@@ -132,7 +143,10 @@ class Engine:
         return self.store.stats()
 
     def keyword_stats(self) -> DataFrame:
-        return bm25.stats(bm25.lengths(self.corpus(), KEYS))
+        """Statistics of the corpus; stored chunks have their lengths, only documents are tokenised."""
+        stored = self.store.load()
+        stored = stored.select("dl") if "dl" in stored.columns else bm25.lengths(stored, [])
+        return bm25.stats(bm25.lengths(self._docs_placed(), []).unionByName(stored))
 
     def caller(self, key: str | None, host: str = "unknown") -> str:
         """Who a request counts as: a fingerprint of its key, or its address where no keys are set."""

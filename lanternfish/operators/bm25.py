@@ -28,6 +28,16 @@ def postings(chunks: DataFrame, keys: list[str], content: str = "content") -> Da
     return cut.select(*keys, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def of_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of a stored index that a batch of queries needs.
+
+    The terms become literals of the plan, so Parquet skips row groups of the postings, which are sorted by
+    term. Their number is bounded by the request limits.
+    """
+    terms = [r["term"] for r in query_terms(queries).select("term").distinct().collect()]
+    return index.filter(F.col("term").isin(terms)) if terms else index.limit(0)
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -15,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternfish.functions import text
 from lanternfish.operators import bm25
 from lanternfish.schema import CHUNK, STATS
 
@@ -152,7 +153,7 @@ class SegmentedStore:
         """Live chunks with pos; (pos, row) is corpus order. Empty where nothing was stored."""
         rows = self._read("chunks", version)
         if rows is None:
-            return self.spark.createDataFrame([], CHUNK).withColumns({"row": F.lit(0).cast("long"), "pos": F.lit(0)})
+            return self.spark.createDataFrame([], CHUNK).withColumns({"row": F.lit(0).cast("long"), "pos": F.lit(0), "dl": F.lit(0).cast("long")})
         return rows
 
     def postings(self, version: int | None = None) -> DataFrame | None:
@@ -171,7 +172,7 @@ class SegmentedStore:
 
     def _write(self, name: str, chunks: DataFrame) -> None:
         ordered = chunks if "row" in chunks.columns else chunks.withColumn("row", F.monotonically_increasing_id())
-        ordered.drop("pos").write.mode("overwrite").parquet(self._path(name, "chunks"))
+        ordered.drop("pos").withColumn("dl", F.size(text.tokens(F.col("content"))).cast("long")).write.mode("overwrite").parquet(self._path(name, "chunks"))
         done = self.spark.read.parquet(self._path(name, "chunks"))
         done.groupBy("source").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(self._path(name, "sources"))
         bm25.postings(done, ["source", "row"]).sort("term").write.mode("overwrite").parquet(self._path(name, "postings"))
@@ -280,6 +281,9 @@ class RewriteStore:
         if not old.join(wanted, "source", "left_semi").isEmpty():
             self._swap(old.join(wanted, "source", "left_anti"))
 
+    def postings(self) -> None:
+        """None: this store keeps no index."""
+
     def stats(self) -> DataFrame:
         rows = self.load().agg(F.count("*").alias("live_chunks"), F.count_distinct("source").alias("sources"))
         return rows.select("live_chunks", "sources", F.lit(0).cast("long").alias("dead_chunks"), F.lit(1).cast("long").alias("segments"))
