@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each document that the mix takes words of."""
-    return mixing.mix(docs.select("doc_id", "text", "source")).filter("taken > 0")
+    return mixing.Mix(docs).counts().filter("taken > 0")
 
 
 STAGES = [

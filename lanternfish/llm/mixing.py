@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import SPACE, clash_free, materialize
+from lanternfish.llm._shared import lean, materialize
 
 #: Words of a block; slots of an output shard; most shards planned; documents of a bucket for prefix sums.
 BLOCK = 256
@@ -24,6 +24,7 @@ SHARD_SLOTS = 4096
 SHARD_CELLS = 1 << 22
 BUCKET_DOCS = 4096
 WEIGHTS = (5, 2, 1)
+WORD = r"[^\x20\x09-\x0D]+"
 OUT = ("size", "source_size", "target", "taken")
 
 
@@ -58,72 +59,92 @@ def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """Rows of df with size, source_size, target and taken (words that the mix takes of the row, repeats counted).
+class Mix:
+    """The plan of a mix over df; counts() gives what it takes of each row, blocks() the packed blocks themselves.
 
-    Sources in code-point order, null last, weigh weights[0], weights[1], ... repeating. Null texts have size
-    0 and are taken 0 times; sources without words have target 0. Rows with equal keys each count on their
-    own. Columns of df named like an output column are replaced. An empty table gives no rows. The number of
-    sources, not of rows, bounds what the driver holds. The same rows give the same mix.
+    Sources in code-point order, null last, weigh weights[0], weights[1], ... repeating. Null texts have no
+    words; sources without words have target 0. Rows with equal keys each count on their own, and other
+    columns of df play no part, whatever their names. An empty table gives no rows. The number of sources, not
+    of rows, bounds what the driver holds. The same rows give the same mix, however they are dealt.
     """
-    spark = df.sparkSession
-    df = clash_free(df, *OUT)
-    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(SPACE.replace("[", "[^"))), F.lit(0)).cast("long")
-    src = F.col(f"`{source}`").cast("string")
-    name = F.when(src.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), src))
-    ident = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))
-    rows = materialize(df.select(F.col(f"`{key}`").alias("m_key"), name.alias("m_src"), size.alias("m_size"), ident.alias("m_hash")), "mix-rows")
-    found = sorted(rows.groupBy("m_src").agg(F.sum("m_size").alias("size"), F.count("*").alias("docs")).collect(), key=lambda r: (r["m_src"] == "n", r["m_src"]))
-    sizes = [r["size"] for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-    blocks = [-(-s // block) for s in sizes]
-    quota = [min(math.floor(most * b), round(b * g / s)) if s else 0 for b, g, s in zip(blocks, goal, sizes, strict=True)]
-
-    plan = []
-    if found:
-        shards = max(1, min(math.ceil(sum(quota) / SHARD_SLOTS), SHARD_CELLS // len(found)))
-        rng, left, done = np.random.default_rng(seed), np.array(quota, dtype=np.int64), np.zeros(len(found), dtype=np.int64)
-        for h in range(shards):
-            take = int(left.sum()) // (shards - h)
-            drawn = rng.multivariate_hypergeometric(left, take, method="marginals") if take else np.zeros_like(left)
-            plan += [(found[i]["m_src"], h, int(done[i]), int(drawn[i]), blocks[i], seed * 1000003 + i) for i in range(len(found)) if drawn[i]]
-            left, done = left - drawn, done + drawn
-
-    def slots(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                for low in range(r["first"], r["first"] + r["slots"], 1 << 18):
-                    index = np.arange(low, min(r["first"] + r["slots"], low + (1 << 18)), dtype=np.int64) % r["blocks"]
-                    which, times = np.unique(permute(index, r["blocks"], r["seed"]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["m_src"]] * len(which), pa.string()), pa.array(which, pa.int64()), pa.array(times, pa.int64())], names=["m_src", "m_block", "m_times"])
-
-    planned = spark.createDataFrame(plan, "m_src string, shard int, first long, slots long, blocks long, seed long")
-    taken = planned.repartition(max(1, min(len(plan), int(spark.conf.get("spark.sql.shuffle.partitions")))), "m_src", "shard").mapInArrow(slots, "m_src string, m_block long, m_times long").groupBy("m_src", "m_block").agg(F.sum("m_times").alias("m_times"))
-
-    facts = spark.createDataFrame([(r["m_src"], r["size"], float(g), max(1, -(-r["docs"] // BUCKET_DOCS))) for r, g in zip(found, goal, strict=True)], "m_src string, source_size long, target double, m_buckets long")
-    rows = rows.join(facts, "m_src").withColumn("m_bucket", F.pmod(F.col("m_hash"), F.col("m_buckets")))
-    rows = rows.repartition("m_src", "m_bucket")
-    ahead = rows.groupBy("m_src", "m_bucket").agg(F.sum("m_size").alias("m_sum"))
-    over = Window.partitionBy("m_src").orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.select("m_src", "m_bucket", F.coalesce(F.sum("m_sum").over(over), F.lit(0)).alias("m_ahead"))
-    inside = Window.partitionBy("m_src", "m_bucket").orderBy("m_hash", "m_key", "m_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("m_end", F.sum("m_size").over(inside)).withColumn("m_nth", F.row_number().over(Window.partitionBy("m_src", "m_bucket").orderBy("m_hash", "m_key", "m_size")))
-    placed = placed.join(ahead, ["m_src", "m_bucket"]).withColumn("m_first", F.col("m_ahead") + F.col("m_end") - F.col("m_size"))
-    piece = placed.filter("m_size > 0").select("m_src", "m_bucket", "m_nth", "m_first", "m_size", F.explode(F.sequence(F.floor(F.col("m_first") / block), F.floor((F.col("m_first") + F.col("m_size") - 1) / block))).alias("m_block"))
-    overlap = F.least(F.col("m_first") + F.col("m_size"), (F.col("m_block") + 1) * block) - F.greatest(F.col("m_first"), F.col("m_block") * block)
-    sums = piece.join(taken, ["m_src", "m_block"]).groupBy("m_src", "m_bucket", "m_nth").agg(F.sum(overlap * F.col("m_times")).alias("taken"))
-    done = placed.join(sums, ["m_src", "m_bucket", "m_nth"], "left")
-    done = done.select("m_key", "m_src", "m_hash", F.col("m_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    if set(df.columns) <= {key, source, text}:
-        back = F.when(F.col("m_src") != "n", F.expr("substring(m_src, 2)"))
-        return done.select(F.col("m_key").alias(key), back.alias(source), *OUT)
-    nth = Window.partitionBy("m_hash", "m_key").orderBy("size", "taken")
-    done = done.withColumn("m_copy", F.row_number().over(nth))
-    wide = df.withColumn("m_hash", ident).withColumn("m_copy", F.row_number().over(Window.partitionBy("m_hash", key).orderBy(F.xxhash64(src))))
-    joined = wide.join(done, wide["m_hash"].eqNullSafe(done["m_hash"]) & wide[key].eqNullSafe(done["m_key"]) & (wide["m_copy"] == done["m_copy"]))
-    return joined.select(*(wide[c] for c in df.columns), *(done[c] for c in OUT))
+
+    def __init__(self, df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 7):
+        self.spark, self.key, self.source, self.block = df.sparkSession, key, source, block
+        size = F.coalesce(F.regexp_count(F.col("m_text"), F.lit(WORD)), F.lit(0)).cast("long")
+        name = F.when(F.col("m_source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("m_source")))
+        rows = df.select(F.col(f"`{key}`").alias("m_key"), F.col(f"`{text}`").alias("m_text"), F.col(f"`{source}`").cast("string").alias("m_source"))
+        self.rows = rows.select("m_key", "m_text", name.alias("m_src"), size.alias("m_size"), F.xxhash64(F.lit(seed), "m_key", "m_text").alias("m_hash"))
+        self.sized = materialize(self.rows.drop("m_text"), "mix-rows")
+        found = sorted(self.sized.groupBy("m_src").agg(F.sum("m_size").alias("size"), F.count("*").alias("docs")).collect(), key=lambda r: (r["m_src"] == "n", r["m_src"]))
+        sizes = [r["size"] for r in found]
+        goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
+        blocks = [-(-s // block) for s in sizes]
+        quota = [min(math.floor(most * b), round(b * g / s)) if s else 0 for b, g, s in zip(blocks, goal, sizes, strict=True)]
+        facts = [(r["m_src"], r["size"], float(g), max(1, -(-r["docs"] // BUCKET_DOCS))) for r, g in zip(found, goal, strict=True)]
+        self.facts = self.spark.createDataFrame(facts, "m_src string, source_size long, target double, m_buckets long")
+        self.plan = []
+        if found:
+            shards = max(1, min(math.ceil(sum(quota) / SHARD_SLOTS), SHARD_CELLS // len(found)))
+            rng, left, done = np.random.default_rng(seed), np.array(quota, dtype=np.int64), np.zeros(len(found), dtype=np.int64)
+            for h in range(shards):
+                take = int(left.sum()) // (shards - h)
+                drawn = rng.multivariate_hypergeometric(left, take, method="marginals") if take else np.zeros_like(left)
+                self.plan += [(found[i]["m_src"], h, int(done[i]), int(drawn[i]), blocks[i], seed * 1000003 + i) for i in range(len(found)) if drawn[i]]
+                left, done = left - drawn, done + drawn
+
+    def slots(self) -> DataFrame:
+        """m_src, shard, m_block of every slot of the mix: slots of a source go through its permutation in turn."""
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    for low in range(r["first"], r["first"] + r["slots"], 1 << 18):
+                        index = np.arange(low, min(r["first"] + r["slots"], low + (1 << 18)), dtype=np.int64) % r["blocks"]
+                        which = permute(index, r["blocks"], r["seed"])
+                        yield pa.RecordBatch.from_arrays([pa.array([r["m_src"]] * len(which), pa.string()), pa.array([r["shard"]] * len(which), pa.int32()), pa.array(which)], names=["m_src", "shard", "m_block"])
+
+        planned = self.spark.createDataFrame(self.plan, "m_src string, shard int, first long, slots long, blocks long, seed long")
+        parts = max(1, min(len(self.plan), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        return planned.repartition(parts, "m_src", "shard").mapInArrow(lean(run), "m_src string, shard int, m_block long")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with m_first, the place of their first word in their source; prefix sums over buckets of bounded size."""
+        rows = rows.join(self.facts, "m_src").withColumn("m_bucket", F.pmod(F.col("m_hash"), F.col("m_buckets"))).repartition("m_src", "m_bucket")
+        ahead = rows.groupBy("m_src", "m_bucket").agg(F.sum("m_size").alias("m_sum"))
+        over = Window.partitionBy("m_src").orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+        ahead = ahead.select("m_src", "m_bucket", F.coalesce(F.sum("m_sum").over(over), F.lit(0)).alias("m_ahead"))
+        inside = Window.partitionBy("m_src", "m_bucket").orderBy("m_hash", "m_key", "m_size")
+        rows = rows.withColumns({"m_end": F.sum("m_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "m_nth": F.row_number().over(inside)})
+        return rows.join(ahead, ["m_src", "m_bucket"]).withColumn("m_first", F.col("m_ahead") + F.col("m_end") - F.col("m_size"))
+
+    def pieces(self, placed: DataFrame, *carry: str) -> DataFrame:
+        """A row for each block that a row's words reach into: m_block, m_from and m_to (places in the source)."""
+        reach = F.sequence(F.floor(F.col("m_first") / self.block), F.floor((F.col("m_first") + F.col("m_size") - 1) / self.block))
+        cut = placed.filter("m_size > 0").select("m_src", "m_bucket", "m_nth", "m_first", "m_size", *carry, F.explode(reach).alias("m_block"))
+        low = F.greatest(F.col("m_first"), F.col("m_block") * self.block)
+        return cut.withColumns({"m_from": low, "m_to": F.least(F.col("m_first") + F.col("m_size"), (F.col("m_block") + 1) * self.block)})
+
+    def counts(self) -> DataFrame:
+        """key, source, size, source_size, target, taken (words that the mix takes of the row, repeats counted)."""
+        placed = self.placed(self.sized)
+        times = self.slots().groupBy("m_src", "m_block").agg(F.count("*").alias("m_times"))
+        met = self.pieces(placed).join(times.hint("merge"), ["m_src", "m_block"])  # grows with the input: never broadcast
+        sums = met.groupBy("m_src", "m_bucket", "m_nth").agg(F.sum((F.col("m_to") - F.col("m_from")) * F.col("m_times")).alias("taken"))
+        done = placed.join(sums, ["m_src", "m_bucket", "m_nth"], "left")
+        name = F.when(F.col("m_src") != "n", F.expr("substring(m_src, 2)"))
+        return done.select(F.col("m_key").alias(self.key), name.alias(self.source), F.col("m_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+    def blocks(self) -> DataFrame:
+        """shard, source, block, block_text of every slot: the mixed corpus. A source's last block may be shorter."""
+        words = F.regexp_extract_all(F.col("m_text"), F.lit(WORD), F.lit(0))
+        cut = self.pieces(self.placed(self.rows), "m_text")
+        part = F.array_join(F.slice(words, (F.col("m_from") - F.col("m_first") + 1).cast("int"), (F.col("m_to") - F.col("m_from")).cast("int")), " ")
+        packed = cut.select("m_src", "m_block", F.struct("m_from", part.alias("part")).alias("p")).groupBy("m_src", "m_block").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # at most BLOCK pieces
+        text = F.array_join(F.transform("ps", lambda p: p["part"]), " ")
+        met = packed.join(self.slots().hint("merge"), ["m_src", "m_block"])
+        return met.select("shard", F.when(F.col("m_src") != "n", F.expr("substring(m_src, 2)")).alias(self.source), F.col("m_block").alias("block"), text.alias("block_text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", *OUT)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return Mix(docs).counts().select("doc_id", *OUT)
