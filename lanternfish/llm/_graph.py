@@ -10,6 +10,8 @@ from lanternfish.llm._shared import lean, materialize, release
 
 #: Edges that a task holds at once while it contracts them.
 LOCAL_EDGES = 200_000
+#: So few edges are finished in one task, which is of bounded size at any input.
+LAST_EDGES = 16_000
 
 
 class Forest:
@@ -54,6 +56,12 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["u", "v"])
 
 
+def _nodes(stars: DataFrame) -> DataFrame:
+    """(node, component) of every node of stars (u, v) around v."""
+    leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge between two nodes; component is its smallest node.
 
@@ -68,8 +76,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if 0 < mark[0] <= LAST_EDGES:
+            last = materialize(now.repartition(1).mapInArrow(lean(_contract), f"u {kind}, v {kind}"), "components")
+            release(spark, now)
+            return _nodes(last)
         if mark[0] == 0 or (seen is not None and tuple(mark) == seen):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return _nodes(now)
         seen = tuple(mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

@@ -82,7 +82,11 @@ def test_rolling_hash_is_of_the_run():
     assert rolling(h, 8).size == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [16_000, 0])
+def test_components(spark, monkeypatch, last):
+    from lanternfish.llm import _graph
+
+    monkeypatch.setattr(_graph, "LAST_EDGES", last)
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(50)] + [(7, 7), (None, 3)]
     up = {}
