@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import crc_mod, materialize
+from lanternfish.llm._shared import crc_mod, lean, materialize
 from lanternfish.llm._tokens import chunks, hash_docs, mix64
 
 #: Pseudo-count of the root below a state. Additive smoothing of the root.
@@ -107,7 +107,8 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
     kind = df.schema[key].dataType
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    batches, shards = int(-(-size // BATCH_BYTES)) or 1, int(-(-size // SHARD_BYTES)) or 1
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 20)  # use all tasks, if they get a MB each
+    batches, shards = max(1, spread, -(-size // BATCH_BYTES)), max(1, -(-size // SHARD_BYTES))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)).cast("int"))
 
     def distinct_keys(texts):
@@ -148,8 +149,8 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "shard", "kind", "n", "counts", "tokens", "words"])
 
-    asked = rows.groupBy("batch").applyInArrow(ask, "batch int, shard int, kind int, n int, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "batch int, shard int, kind int, n int, counts binary, tokens long, words long")
+    asked = rows.groupBy("batch").applyInArrow(lean(ask), "batch int, shard int, kind int, n int, keys binary, counts binary")
+    answers = asked.groupBy("shard").applyInArrow(lean(answer), "batch int, shard int, kind int, n int, counts binary, tokens long, words long")
     answers = materialize(answers, "lm-counts")
     sums = answers.filter("batch = -1").agg(F.sum("tokens"), F.sum("words")).first()
     docs = rows.filter("train").count()
@@ -171,7 +172,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
         n_known = np.add.reduceat((known > 0).astype(np.int64), first)
         return pa.Table.from_arrays([own.column("key").combine_chunks(), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(texts), total), pa.int64()), pa.array(base), pa.array(value)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = rows.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(traverse, f"key {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = rows.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(lean(traverse), f"key {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
 
 
