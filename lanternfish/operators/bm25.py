@@ -6,6 +6,8 @@ query terms are ever joined or shuffled; document frequencies and totals are a r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,26 @@ def score(index: DataFrame, stats_: DataFrame, queries: DataFrame, keys: list[st
     return joined.groupBy("qid", *keys).agg(F.sum(part).alias("score"))
 
 
+def lookup(index: DataFrame, n: int, avgdl: float, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """score() over a stored index whose statistics are known, with the least latency.
+
+    Terms and their document frequencies come to the driver (a row per query term, bounded by the request
+    limits) and return as literals: the last job is one pruned scan and one aggregation, without a join.
+    """
+    asked: dict[str, list[int]] = {}
+    for r in query_terms(queries).collect():
+        asked.setdefault(r["term"], []).append(r["qid"])
+    hits = index.filter(F.col("term").isin(list(asked))) if asked else index.limit(0)
+    df = {r["term"]: r["df"] for r in document_frequency(hits).collect()}
+    pairs = lambda f: F.create_map(*[F.lit(x) for t in df for x in (t, f(t))]) if df else F.lit(None).cast("map<string,double>")
+    part = scoring.bm25_term(pairs(lambda t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))[F.col("term")], F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
+    if len({q for qs in asked.values() for q in qs}) <= 1:
+        one = next(iter(asked.values()), [0])[0]
+        return hits.groupBy(*keys).agg(F.sum(part).alias("score")).select(F.lit(one).cast("long").alias("qid"), *keys, "score")
+    who = F.create_map(*[x for t in df for x in (F.lit(t), F.array(*map(F.lit, asked[t])).cast("array<long>"))]) if df else F.lit(None).cast("map<string,array<long>>")
+    return hits.select(F.explode(who[F.col("term")]).alias("qid"), *keys, part.alias("part")).groupBy("qid", *keys).agg(F.sum("part").alias("score"))
+
+
 def spread(scores: DataFrame, stats_: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, low, high over the whole corpus, where a chunk without a match has 0. Needs only the matches."""
     found = scores.groupBy("qid").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("m"))

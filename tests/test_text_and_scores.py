@@ -112,6 +112,19 @@ def test_scores_match_brute_force(spark, corpus, queries):
         assert ends[q] == (pytest.approx(min(want)), pytest.approx(max(want)))
 
 
+@pytest.mark.parametrize("queries", [["b zz a"], ["a b", "", "c a a"], [""]])
+def test_lookup_equals_score(spark, queries):
+    c = spark.createDataFrame(list(enumerate(["a b a", "b c", "d", ""])), "pos long, content string")
+    q = spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
+    index, stats = bm25.postings(c, ["pos"]), bm25.stats(bm25.lengths(c, ["pos"]))
+    s = stats.first()
+    pick = lambda d: {(r["qid"], r["pos"]): pytest.approx(r["score"]) for r in d.collect()}
+    want = pick(bm25.score(index, stats, q, ["pos"]))
+    got = {(r["qid"], r["pos"]): r["score"] for r in bm25.lookup(index, s["n"], s["avgdl"], q, ["pos"]).collect()}
+    assert got == want
+    assert {(r["qid"], r["pos"]): r["score"] for r in bm25.score(bm25.of_terms(index, q), stats, q, ["pos"]).collect()} == want
+
+
 def test_repeated_query_terms_count_once(spark):
     a, _ = scores(spark, ["x y", "x x z"], ["x x x"])
     b, _ = scores(spark, ["x y", "x x z"], ["x"])
