@@ -3,7 +3,8 @@
 One model per language over the letters of words (with word edges), stored together in sorted arrays of
 n-gram hashes: for each n-gram that any language has seen, the log-probability under every language, and for
 each context the interpolation weights. A text gets the language of the lowest cross-entropy per character.
-It is rejected where that entropy lies beyond what a calibration part of the sample allows for its length.
+It is rejected where that entropy lies beyond what a calibration part of the sample allows for its length, and
+beyond that of texts wholly in another learned language: a text that mixes learned languages stays.
 """
 
 from __future__ import annotations
@@ -189,18 +190,21 @@ def train(labelled: DataFrame, chars: int = SAMPLE_CHARS, order: int = ORDER) ->
         return None
     model = fit(fitted, order)
     scores = Scorer(model)([r["text"] for r in apart])
-    limits = np.zeros((len(model["langs"]), 4))  # mean, variance between texts, variance of a character, z
-    for j, lang in enumerate(model["langs"]):
-        own = scores[[i for i, r in enumerate(apart) if r["lang"] == lang and scores[i, -1] > 0]]
+    limits = np.zeros((len(model["langs"]), 5))  # mean, variance between texts, variance of a character, z, another language's entropy
+    owner = np.array([model["langs"].index(r["lang"]) if r["lang"] in fitted else -1 for r in apart])
+    for j in range(len(model["langs"])):
+        own = scores[(owner == j) & (scores[:, -1] > 0)]
         if len(own) < 8:
-            limits[j] = (0, 0, 0, np.inf)
+            limits[j] = (0, 0, 0, np.inf, np.inf)
             continue
+        others = [scores[owner == k] for k in range(len(model["langs"])) if k != j]
+        foreign = max((-x[:, j].sum() / x[:, -1].sum() for x in others if x[:, -1].sum() > 0), default=0.0)
         entropy, n = -own[:, j] / own[:, -1], own[:, -1]
         mean = np.average(entropy, weights=n)
         per_char = np.median((entropy - mean) ** 2 * n) / 0.455  # the median of a chi-square of one degree
         between = max(0.0, float(np.var(entropy[n > 500]))) if (n > 500).any() else 0.05
         z = np.abs(entropy - mean) / np.sqrt(between + per_char / n + 1e-9)
-        limits[j] = (mean, between, per_char, max(LEAST_Z, 1.5 * z.max()))
+        limits[j] = (mean, between, per_char, max(LEAST_Z, 1.5 * z.max()), foreign)
     model["limits"] = limits
     return model
 
@@ -236,8 +240,8 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
                 best = entropy.argmin(axis=1)
                 lowest = entropy[np.arange(len(best)), best]
                 weight = np.exp(-SHARPNESS * (entropy - lowest[:, None]))
-                mean, between, per_char, z = model["limits"][best].T
-                far = lowest > mean + z * np.sqrt(between + per_char / np.maximum(chars, 1) + 1e-9)
+                mean, between, per_char, z, foreign = model["limits"][best].T
+                far = lowest > np.maximum(foreign, mean + z * np.sqrt(between + per_char / np.maximum(chars, 1) + 1e-9))
                 for i in np.flatnonzero(chars > 0):
                     pred[low + i], ent[low + i] = model["langs"][best[i]], float(lowest[i])
                     conf[low + i], rej[low + i] = 1 / weight[i].sum(), far[i]

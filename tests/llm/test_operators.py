@@ -193,7 +193,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 def test_language_id(spark):
     rng = random.Random(6)
     rows = [(k, words(rng, rng.choice([4, 30, 200]), GERMAN if k % 3 == 0 else ENGLISH), "de" if k % 3 == 0 else "en") for k in range(600)]
-    rows += [(900, None, "en"), (901, "12 34 !!", None), (902, "", "de"), (903, "Ж" * 400 + " щ", None)]
+    rows += [(900, None, "en"), (901, "12 34 !!", None), (902, "", "de"), (903, "Ж" * 400 + " щ", None), (904, words(rng, 60, ENGLISH) + " " + words(rng, 60, GERMAN), None)]
     df = frame(spark, rows, "doc_id long, text string, lang string")
     model = language_id.train(language_id.training_rows(df))
     out = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
@@ -201,6 +201,7 @@ def test_language_id(spark):
     assert sum(out[i]["lang_pred"] == lang for i, _, lang in held) / len(held) > 0.98
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 and out[i]["rejected"] for i in (900, 901, 902))
     assert all(0 <= r["score"] <= 1 for r in out.values())
+    assert not out[904]["rejected"]
     assert out[903]["rejected"] and not any(out[i]["rejected"] for i, _, _ in rows[:600])
     assert language_id.train(language_id.training_rows(df.limit(0))) is None
     assert {r["lang_pred"] for r in language_id.identify(df, None).collect()} == {"und"}
