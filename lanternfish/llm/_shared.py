@@ -8,6 +8,7 @@ import ctypes
 import gc
 import inspect
 import math
+import threading
 import uuid
 
 import pyarrow as pa
@@ -49,11 +50,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _collect_soon(spark: SparkSession) -> None:
+    """Collect the driver's garbage in a second: until its event queue is empty, Spark still holds the finished plan."""
+
+    def collect():
+        with contextlib.suppress(Exception):  # the session may have ended
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+
+    timer = threading.Timer(1.0, collect)
+    timer.daemon = True
+    timer.start()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver ends. Shuffle files that only the plan of df needed are let go now: Spark
-    deletes them once the driver's objects for them are collected.
+    The table goes when the driver ends. Shuffle files that only the plan of df needed are let go soon after:
+    Spark deletes them once the driver's objects for them are collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -61,8 +75,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect_soon(spark)
     return spark.read.schema(schema).parquet(path)
 
 
