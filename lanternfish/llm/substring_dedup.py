@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import clash_free, lean, materialize, small_batches
+from lanternfish.llm._shared import clash_free, lean, materialize, release, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 
 WINDOW = 50
@@ -29,7 +29,7 @@ LAST = (1 << 63) - 1
 #: Seeds that a task holds at once to send equal extensions only once.
 SEEDS_HELD = 400_000
 OUT = ("n_words", "n_removed", "spans", "kept_text")
-SEEDS = "key long, finger int, a long, f long, s0 int, cnt int, dup boolean"
+SEEDS = "key long, finger int, a long, f long, s0 array<int>, cnt int, dup boolean"
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,16 +55,18 @@ def _extents(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: n
 
 def _seed(window: int):
     def collapse(parts):
-        """One batch of seeds; of equal extensions only those of the smallest key go on."""
-        key, finger, a_, f, s0, cnt = (np.concatenate(p) for p in parts)
-        order = np.lexsort((s0, key, f, a_))
-        same = np.zeros(len(order), dtype=bool)
-        sa, sf, sk = a_[order], f[order], key[order]
+        """One batch of seeds; of equal extensions only those of the smallest key go on, a row per text."""
+        columns = [np.concatenate(p) for p in parts]
+        order = np.lexsort((columns[4], columns[1], columns[0], columns[3], columns[2]))
+        key, finger, a_, f, s0, cnt = (c[order] for c in columns)
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (sa[1:] != sa[:-1]) | (sf[1:] != sf[:-1])
-        head = sk[np.flatnonzero(new)][np.cumsum(new) - 1]
-        same[order] = sk > head
-        cols = [pa.array(key), pa.array(finger, pa.int32()), pa.array(a_), pa.array(f), pa.array(s0, pa.int32()), pa.array(cnt, pa.int32()), pa.array(same)]
+        new[1:] = (a_[1:] != a_[:-1]) | (f[1:] != f[:-1])
+        own = new.copy()
+        own[1:] |= (key[1:] != key[:-1]) | (finger[1:] != finger[:-1])
+        at = np.flatnonzero(own)
+        same = key[at] > key[np.flatnonzero(new)][(np.cumsum(new) - 1)[at]]
+        places = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), pa.array(s0, pa.int32()))
+        cols = [pa.array(key[at]), pa.array(finger[at], pa.int32()), pa.array(a_[at]), pa.array(f[at]), places, pa.array(cnt[at], pa.int32()), pa.array(same)]
         return pa.RecordBatch.from_arrays(cols, names=["key", "finger", "a", "f", "s0", "cnt", "dup"])
 
     def seed(batches):
@@ -95,50 +97,61 @@ def _seed(window: int):
 
 
 def _windows(window: int):
-    """(a, w, key, finger, s) of every window of the listed anchors."""
+    """(a, w, key, finger, s) of every window of the listed anchors; s has its places in the text."""
 
     def windows(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             keys, fingers, wanted = (batch.column(c).to_pylist() for c in (0, 1, 3))
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for low, high in chunks(texts):
                 hashes, lengths = hash_docs(texts[low:high])
                 ends = np.cumsum(lengths)
                 for row, (x, y) in enumerate(zip(ends - lengths, ends, strict=True), low):
                     wins = rolling(hashes[x:y], window, salt=0x632BE59BD9B4E019)
-                    s0, cnt, a = (np.array([e[k] for e in wanted[row]], dtype=np.int64) for k in ("s0", "cnt", "a"))
-                    whole = s0 + cnt <= len(wins)
-                    s0, cnt, a = s0[whole], cnt[whole], a[whole]
-                    s = np.repeat(s0 - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())
-                    for part, v in zip(parts, (np.repeat(a, cnt), wins[s].view(np.int64), np.full(len(s), keys[row]), np.full(len(s), fingers[row]), s), strict=True):
+                    found = [e for e in wanted[row] if e["s0"][-1] + e["cnt"] <= len(wins)]
+                    s0, cnt, a, n = (np.array(x, dtype=np.int64) for x in ([e["s0"][0] for e in found], [e["cnt"] for e in found], [e["a"] for e in found], [len(e["s0"]) for e in found]))
+                    step = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+                    s = np.repeat(s0, cnt) + step
+                    if (n == 1).all():
+                        places, size = s, np.ones(len(s), dtype=np.int64)
+                    else:
+                        lists = [np.array(e["s0"], dtype=np.int64) for e in found]
+                        places = np.concatenate([(x[None, :] + np.arange(c)[:, None]).reshape(-1) for x, c in zip(lists, cnt, strict=True)])
+                        size = np.repeat(n, cnt)
+                    for part, v in zip(parts, (np.repeat(a, cnt), wins[s].view(np.int64), np.full(len(s), keys[row]), np.full(len(s), fingers[row]), places, size), strict=True):
                         part.append(v)
             if parts[0]:
-                a, w, key, finger, s = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(key), pa.array(finger, pa.int32()), pa.array(s, pa.int32())], names=["a", "w", "key", "finger", "s"])
+                a, w, key, finger, places, size = (np.concatenate(p) for p in parts)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(key), pa.array(finger, pa.int32()), lists], names=["a", "w", "key", "finger", "s"])
 
     return windows
 
 
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """(key, finger, from, to): word ranges of rows (key, text, finger) that windows of smaller keys cover."""
+    spark = rows.sparkSession
     seeds = materialize(rows.mapInArrow(lean(_seed(window)), SEEDS), "seeds")
-    local = seeds.filter("dup").select("key", "finger", "s0", "cnt")
+    local = materialize(seeds.filter("dup").select("key", "finger", "s0", "cnt"), "repeats")
     live = seeds.filter("NOT dup").drop("dup")
     shared = live.groupBy("a").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("a")
     live = materialize(live.join(shared, "a"), "shared-seeds")
+    release(spark, seeds)
     whole = live.groupBy("a", "f").agg(F.min("key").alias("least"))
     several = whole.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("a")
     judged = materialize(live.join(whole, ["a", "f"]), "extensions")
+    several = materialize(several, "several")
+    release(spark, live)
     full = judged.filter("least < key").select("key", "finger", "s0", "cnt")
     firsts = judged.filter("least = key").join(several, "a")
     wanted = firsts.groupBy("key", "finger").agg(F.collect_list(F.struct("s0", "cnt", "a")).alias("wanted"))
     wins = wanted.join(rows, ["key", "finger"]).select("key", "finger", "text", "wanted")
-    wins = materialize(wins.mapInArrow(lean(_windows(window)), "a long, w long, key long, finger int, s int"), "windows")
+    wins = materialize(wins.mapInArrow(lean(_windows(window)), "a long, w long, key long, finger int, s array<int>"), "windows")
     again = wins.groupBy("a", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("a", "w", "least")
     part = wins.join(again, ["a", "w"]).filter("least < key").select("key", "finger", F.col("s").alias("s0"), F.lit(1).alias("cnt"))
-    found = local.unionByName(full).unionByName(part)
-    return found.select("key", "finger", F.col("s0").alias("from"), (F.col("s0") + F.col("cnt") + window - 1).alias("to"))
+    found = local.unionByName(full).unionByName(part).select("key", "finger", F.explode("s0").alias("from"), "cnt")
+    return found.select("key", "finger", "from", (F.col("from") + F.col("cnt") + window - 1).alias("to"))
 
 
 def _strip(width: int):
