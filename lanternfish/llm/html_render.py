@@ -94,7 +94,11 @@ def parse(page: str) -> Node:
             stack.append(node)
         return node
 
+    last = page.rfind(">")
     while at < end:
+        if at > last:  # no tag ends from here on; a comment may still begin
+            end = page.find("<!--", at) % (end + 1)
+            break
         m = TAG.search(page, at)
         if not m:
             break
@@ -145,7 +149,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
             continue
         open_(tag, attrs)
-    add_text(page[at:])
+    add_text(page[at:end])
     return root
 
 

@@ -23,6 +23,8 @@ BLOCK = 256
 SHARD_SLOTS = 4096
 SHARD_CELLS = 1 << 22
 BUCKET_DOCS = 4096
+#: The generator's own limit.
+HYPER_MOST = 10**9
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 OUT = ("size", "source_size", "target", "taken")
@@ -40,6 +42,19 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
         fixed.update({i: float(most * sizes[i]) for i in over})
 
 
+def draw(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of take slots fall to each source, drawn from what is left without replacement."""
+    total = int(left.sum())
+    if take >= total:
+        return left.copy()
+    if total < HYPER_MOST:
+        return rng.multivariate_hypergeometric(left, take, method="marginals")
+    drawn = np.minimum(rng.multinomial(take, left / total), left)  # so large that replacement hardly matters
+    for i in np.argsort(drawn - left):
+        drawn[i] += min(left[i] - drawn[i], take - int(drawn.sum()))
+    return drawn
+
+
 def permute(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A pseudorandom permutation of range(n): four Feistel rounds on 2k bits, walked until below n."""
     half = max(1, math.ceil(math.log2(max(2, n)) / 2))
@@ -88,7 +103,7 @@ class Mix:
             rng, left, done = np.random.default_rng(seed), np.array(quota, dtype=np.int64), np.zeros(len(found), dtype=np.int64)
             for h in range(shards):
                 take = int(left.sum()) // (shards - h)
-                drawn = rng.multivariate_hypergeometric(left, take, method="marginals") if take else np.zeros_like(left)
+                drawn = draw(rng, left, take)
                 self.plan += [(found[i]["m_src"], h, int(done[i]), int(drawn[i]), blocks[i], seed * 1000003 + i) for i in range(len(found)) if drawn[i]]
                 left, done = left - drawn, done + drawn
 

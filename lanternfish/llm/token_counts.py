@@ -71,7 +71,8 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
     small_batches(spark)
     rows = df.count()
     keep = min(1.0, SAMPLE_ROWS / max(1, rows))
-    sample = df.select(F.col(f"`{text}`").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
+    chosen = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(1 << 62)) < int(keep * (1 << 62))
+    sample = df.filter(chosen).select(F.col(f"`{text}`").alias("t"))
 
     def frequent(batches):
         _, findall, special = _splitter(path)
@@ -85,7 +86,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
         top = [x for x in counts.most_common(TABLE_ENTRIES // 4) if len(x[0]) <= CACHE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top], pa.string()), pa.array([x[1] for x in top], pa.int64())], names=["piece", "n"])
 
-    top = sample.coalesce(8).mapInArrow(lean(frequent), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
+    top = sample.repartition(8).mapInArrow(lean(frequent), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
     tokenizer, _, _ = _splitter(path)
     pieces = [r["piece"] for r in top]
     table = spark.sparkContext.broadcast({p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True)})

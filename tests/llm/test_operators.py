@@ -451,6 +451,17 @@ def test_mixing_targets():
     assert got == [20, 1495, 0] and sum(got) == 1515
 
 
+def test_draws_use_up_what_is_left(monkeypatch):
+    for most in (10**9, 10):
+        monkeypatch.setattr(mixing, "HYPER_MOST", most)
+        rng, left = np.random.default_rng(1), np.array([500, 0, 37, 1])
+        while left.sum():
+            take = int(min(left.sum(), 100))
+            got = mixing.draw(rng, left, take)
+            assert got.sum() == take and (got >= 0).all() and (got <= left).all()
+            left = left - got
+
+
 def test_permutation():
     for n in (1, 2, 3, 7, 64, 1000):
         got = mixing.permute(np.arange(n), n, 5)
@@ -516,6 +527,7 @@ def test_mixing(spark):
         ("<details><summary>s</summary>closed</details><details open><summary>t</summary>seen</details>", "s\nt\nseen"),
         ("<!-- <p>no</p> --><p>yes", "yes"),
         ("x <!-- never closed", "x"),
+        ("<p>x</p>y <b z <!-- never closed", "x\n\ny <b z"),
         ("<select><option>a<option selected>b</select> <input type=submit value=go><input type=hidden value=no>", "b go"),
         ("a < b and c > d", "a < b and c > d"),
         ("<b><i>x</b>y</i>", "xy"),
@@ -532,7 +544,7 @@ def test_render_odd_pages():
     assert html_render.render("<div>" * 5000 + "deep")[1] == "deep"
     assert "end" in html_render.render("<p>w " * 20000 + "end")[1]
     assert html_render.render("<title> A  b </title>x")[0] == "A b"
-    for junk in ("<" * 2000, "<a " * 3000, "<a b='" * 3000, "<!" * 2000, "</" * 2000, "&" * 100, "<td>x</td></table></p>", "<table><table><tr><td>x"):
+    for junk in ("<" * 2000, "<a " * 3000, "<a b='" * 3000, "<!" * 2000, "</" * 2000, "&" * 100, "<td>x</td></table></p>", "<a b='" * 100_000, "<table><table><tr><td>x"):
         html_render.render(junk)
 
 
