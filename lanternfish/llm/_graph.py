@@ -62,12 +62,25 @@ def _nodes(stars: DataFrame) -> DataFrame:
     return leaves.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the least neighbour of u.
+
+    least: u, n, m. Nodes of more than a thousandth of the edges are fewer than a few thousand, whatever the
+    graph: their rows are met by a broadcast and not gathered. The others meet by a shuffle.
+    """
+    heavy = F.col("n") > max(1000, total / 1000)
+    hubs = F.broadcast(least.filter(heavy).select("u", "m"))
+    met = edges.join(hubs, "u").select("u", "v", "m")
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(~heavy).select("u", "m").hint("merge"), "u")
+    return met.unionByName(rest.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge between two nodes; component is its smallest node.
 
     edges: columns u, v of one orderable type; loops, repeats and nulls are ignored. Alternates large-star and
-    small-star steps, each an aggregation and a join that AQE can split, after a local contraction; every step
-    is written to the shared folder. Rounds grow with the logarithm of the largest component.
+    small-star steps, each an aggregation and a join in which hubs are not gathered, after a local contraction;
+    every step is written to the shared folder. Rounds grow with the logarithm of the largest component.
     """
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType.simpleString()
@@ -84,12 +97,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return _nodes(now)
         seen = tuple(mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.mapInArrow(lean(_contract), f"u {kind}, v {kind}").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = both.groupBy("u").agg(F.count("*").alias("n"), F.least("u", F.min("v")).alias("m"))
+        large = _with_least(both.filter("v > u"), least, 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.mapInArrow(lean(_contract), f"u {kind}, v {kind}").distinct(), "components")
+        least = large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+        small = _with_least(large, least, mark[0])
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         following = materialize(small.filter("u <> v").distinct(), "components")
         release(spark, now)
+        release(spark, large)
         now = following
