@@ -65,10 +65,10 @@ def _nodes(stars: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m, the least neighbour of u.
 
-    least: u, n, m. Nodes of more than a thousandth of the edges are fewer than a few thousand, whatever the
-    graph: their rows are met by a broadcast and not gathered. The others meet by a shuffle.
+    least: u, n, m. Fewer than 1000 nodes have more than a thousandth of the edges, and more than 100, whatever
+    the graph: their rows are met by a broadcast and not gathered. The others meet by a shuffle.
     """
-    heavy = F.col("n") > max(1000, total / 1000)
+    heavy = F.col("n") > max(100, total / 1000)
     hubs = F.broadcast(least.filter(heavy).select("u", "m"))
     met = edges.join(hubs, "u").select("u", "v", "m")
     rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(~heavy).select("u", "m").hint("merge"), "u")

@@ -80,3 +80,16 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", key: str
 def query(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contaminated(docs, bench).drop("finger")
+
+
+#: All alignments of all documents to all items, without seeds.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS v FROM benchmark WHERE len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) >= 9),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+bw AS (SELECT item_id, unnest(v) AS word, unnest(range(0, len(v))) AS q FROM b),
+a AS (SELECT doc_id, item_id, p - q AS shift FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) >= 8),
+m AS (SELECT doc_id, item_id, len(v) AS n, list_transform(range(greatest(0, -shift), least(len(v), len(w) - shift)), lambda q: CAST(v[q + 1] = w[q + shift + 1] AS INTEGER)) AS m FROM a JOIN d USING (doc_id) JOIN b USING (item_id)),
+s AS (SELECT doc_id, item_id, n, CAST(list_sum(m) AS BIGINT) AS matched, list_max(list_transform(range(0, len(m) - least(13, n) + 1), lambda s: list_sum(m[s + 1:s + least(13, n)]))) / least(13, n) AS best FROM m WHERE len(m) >= least(13, n))
+SELECT doc_id, item_id, max(matched) AS matched, max(matched / n) AS coverage, max(best) AS best_window FROM s WHERE best >= 0.8 GROUP BY ALL
+"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.llm._graph import connected_components
-from lanternfish.llm._shared import lean, materialize, small_batches
+from lanternfish.llm._shared import lean, materialize, partitions_for, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 
 SHINGLE = 5
@@ -205,7 +205,8 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
     tasks, split = _tasks(members, percent)
     # Merge join at every size: members grow with the input.
     work = tasks.select("node", "task", "rep").join(docs.hint("merge"), tasks["rep"].eqNullSafe(docs["key"])).select("task", "node", "text")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shingles = members.agg(F.sum("n")).first()[0] or 0
+    parts = partitions_for(df.sparkSession, 16 * shingles, 16 << 20)  # a shingle weighs its hash and its text
     links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(lean(_confirm(percent)), "u long, v long")
     links = materialize(links.distinct(), "links")
     if split:

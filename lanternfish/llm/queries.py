@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_near_dedup": near_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_decontamination": decontamination.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_near_dedup": near_dedup.SQL, "op9_url_filters": url_filters.SQL}

@@ -147,4 +147,28 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("component")
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = f"""{_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*([?][^#]*)', 1) AS query"""
+#: Links with absolute urls; relative ones need an url library.
+SQL = f"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+tags AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
+links AS (SELECT page_id, CASE WHEN regexp_matches(t, '(?is)rel=.?canonical') THEN regexp_extract(t, '(?is)href=.?(https?://[^" >]*)', 1)
+  WHEN regexp_matches(t, '(?is)http-equiv=.?refresh') THEN regexp_extract(t, '(?is)url=.?(https?://[^" >]*)', 1) ELSE '' END AS url FROM tags),
+u AS (SELECT page_id, 0 AS far, {_SPLIT} FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
+  UNION ALL SELECT page_id, 1, {_SPLIT} FROM links WHERE url <> ''),
+n AS (SELECT page_id, far, host, path, host || coalesce(nullif(path, ''), '/') || query AS node FROM u),
+f AS (SELECT DISTINCT host, path, arg_max(struct_pack(r := h || p, v := v), length(h || p) * 1000 + length(h)) OVER (PARTITION BY host, path) AS own
+  FROM (SELECT DISTINCT host, path FROM n) x JOIN rules ON (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p)),
+j AS (SELECT n.*, own FROM n LEFT JOIN f USING (host, path)),
+e AS (SELECT a.node AS a, b.node AS b FROM j a JOIN j b ON a.page_id = b.page_id AND a.far = 0 AND b.far = 1 WHERE a.host <> '' AND b.host <> ''),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, a AS b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON g.a = reach.b),
+told AS (SELECT reach.a AS node, bool_or(own.v = 'allow') AS ok, bool_or(own.v = 'block') AS bad FROM reach JOIN j ON j.node = reach.b GROUP BY reach.a)
+SELECT page_id, host, path, own.r AS rule, coalesce(own.v, CASE WHEN ok THEN 'allow' WHEN bad THEN 'block' END, '{DEFAULT}') AS verdict
+FROM j LEFT JOIN told USING (node) WHERE far = 0
+"""
