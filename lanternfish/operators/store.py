@@ -177,6 +177,15 @@ class SegmentedStore:
         done.groupBy("source").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(self._path(name, "sources"))
         bm25.postings(done, ["source", "row"]).sort("term").write.mode("overwrite").parquet(self._path(name, "postings"))
 
+    def _check_alignment(self, name: str) -> None:
+        """Every chunk of a segment has a vector, and all are of one width; else the segment stays unpublished."""
+        done = self.spark.read.parquet(self._path(name, "chunks"))
+        if "embedding" in done.columns:
+            width = F.coalesce(F.size("embedding"), F.lit(-1))
+            r = done.agg(F.min(width).alias("low"), F.max(width).alias("high")).first()
+            if r["low"] != r["high"] or r["low"] < 0:
+                raise ValueError(f"chunks and vectors don't match: widths from {r['low']} to {r['high']}")
+
     def upsert(self, chunks: DataFrame) -> None:
         """Store chunks; theirs replace all earlier ones of the same sources. Nothing to store: no new version."""
         if chunks.isEmpty():
@@ -185,6 +194,7 @@ class SegmentedStore:
         m = self.manifest(base)
         name = f"seg-{m['next']:06d}-{uuid.uuid4().hex[:8]}"
         self._write(name, chunks)
+        self._check_alignment(name)
         self._commit(base, [*m["entries"], {"name": name, "removes": False}], m["next"] + 1)
         self.compact_if_due()
 

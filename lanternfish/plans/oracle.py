@@ -141,6 +141,7 @@ SELECT qid, rank, vec_id, round(s, 6) AS vector_score FROM r WHERE rank <= {k}""
         "request_bounds": f"SELECT conv_id, turn, coalesce(length({strip('text')}) BETWEEN 1 AND 200, false) AS query_ok, turn * 20 BETWEEN 1 AND 50 AS top_k_ok, role = 'user' AND coalesce(length(text) > 0, false) AS ingest_ok FROM conversations",
         "url_guard": f"WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '^https?:', 'ftp:') WHEN 1 THEN upper(url) ELSE url END AS u FROM pages) SELECT page_id, {HOST.format('u')} AS host, {SCHEME.format('u')} IN ('http', 'https') AND {HOST.format('u')} <> '' AS allowed FROM u",
         "content_type_guard": f"SELECT i, c IS NULL OR c = '' OR contains(lower({strip('split_part(c, chr(59), 1)')}), 'html') AS passes FROM (VALUES {types}) v(i, c)",
+        "redirect_chains": "WITH RECURSIVE f AS (SELECT p_partkey AS place, CASE WHEN p_partkey > 3 THEN p_partkey // 3 END AS nxt FROM part), w AS (SELECT place AS url, place, nxt, 0 AS hops FROM f UNION ALL SELECT w.url, f.place, f.nxt, hops + 1 FROM w JOIN f ON f.place = w.nxt WHERE hops < 4), l AS (SELECT url, max(hops) AS hops, arg_max(place, hops) AS place, arg_max(coalesce(nxt, 0), hops) AS nxt FROM w GROUP BY url) SELECT CAST(url AS VARCHAR) AS url, CASE WHEN nxt = 0 THEN CAST(place AS VARCHAR) END AS final, hops, CASE WHEN nxt <> 0 THEN 'too many redirects' END AS error FROM l",
         "key_fingerprint": "SELECT c_custkey, left(sha256(c_name), 12) AS fingerprint FROM customer",
         "token_bucket": f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT event_id, user_id, rn, t, {BUCKET_LIMIT}.0::DOUBLE - 1 AS tokens, true AS admitted FROM e WHERE rn = 1

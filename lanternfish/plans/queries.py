@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import guards, scoring, text
-from lanternfish.operators import bm25, chunking, embed, hybrid, ingest, limiter, store, vector
+from lanternfish.operators import bm25, chunking, embed, hybrid, ingest, limiter, redirects, store, vector
 
 SIZE, OVERLAP = 400, 50
 KEYS = ["doc_id", "ord"]
@@ -348,6 +348,12 @@ def ip_guard(spark, sf):
     return rows.select("ip", guards.blocked_ip(F.col("ip")).alias("blocked"))
 
 
+def redirect_chains(spark, sf):
+    """parts as urls: each redirects to a third of its number, the first three answer."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("url"), F.when(F.col("p_partkey") > 3, F.expr("cast(p_partkey div 3 as string)")).alias("location"))
+    return redirects.follow(p)
+
+
 def key_fingerprint(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.fingerprint(F.col("c_name")).alias("fingerprint"))
 
@@ -372,7 +378,7 @@ ALL = (
     chunk_windows, chunk_counts_by_source, chunk_tail_contained, corpus_two_layers, corpus_size, term_counts, doc_lengths, document_frequency, corpus_stats, idf_table, query_terms,
     bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_zero_vector, hybrid_search, hybrid_batch, evidence, evidence_json,
     passages, evidence_defaults, page_title, page_article_text, page_metadata, page_markdown, ingest_pages_chunks, ingest_status, ingest_batch_dedup, page_payload, ingest_summary,
-    source_upsert_latest, manifest_replay, store_stats, compaction_due, delete_sources, orphan_segments, corpus_hash, request_bounds, url_guard, content_type_guard, ip_guard,
+    source_upsert_latest, manifest_replay, store_stats, compaction_due, delete_sources, orphan_segments, corpus_hash, request_bounds, url_guard, content_type_guard, ip_guard, redirect_chains,
     key_fingerprint, token_bucket, embed_hashing, embed_sparse,
 )
 

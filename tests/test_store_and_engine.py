@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanternfish import config
 from lanternfish.engine import Engine, RateLimited
-from lanternfish.operators import chunking, ingest, limiter, store
+from lanternfish.operators import chunking, ingest, limiter, redirects, store
 from lanternfish.sources import article, jsonstore, markdown, web
 from lanternfish.streaming import ingest as stream_ingest
 from lanternfish.streaming import limiter as stream_limiter
@@ -58,6 +58,15 @@ def test_no_change_no_version(spark, tmp_path):
     assert s.version() == before
 
 
+def test_misaligned_vectors_are_not_published(spark, tmp_path):
+    s = store.SegmentedStore(spark, str(tmp_path))
+    s.upsert(page(spark, "a", 1, 1))
+    for bad in (F.when(F.col("order") == 0, F.col("embedding")), F.slice("embedding", 1, F.col("order") + 1)):
+        with pytest.raises(ValueError, match="match"):
+            s.upsert(page(spark, "b", 2, 2).withColumn("embedding", bad))
+    assert held(s) == [("a", 0, 1.0)]
+
+
 def test_unknown_store(spark):
     with pytest.raises(ValueError, match="chunk store"):
         store.make_store("sqlite", spark, "x")
@@ -214,6 +223,13 @@ def test_web_source_reports_errors_per_url(spark):
     assert {r["url"] for r in rows} == {"file:///x", "http://127.0.0.1/y"} and all(r["html"] is None and r["fetch_error"] for r in rows)
 
 
+def test_redirect_chains_over_a_table(spark):
+    rows = [(f"c{k}", f"c{k + 1}") for k in range(7)] + [("c7", None), ("x", "y"), ("y", "x"), ("z", "gone")]
+    got = {r["url"]: (r["final"], r["hops"], r["error"]) for r in redirects.follow(spark.createDataFrame(rows, "url string, location string")).collect()}
+    assert got["c3"] == ("c7", 4, None) and got["c2"] == (None, 4, "too many redirects") and got["c7"] == ("c7", 0, None)
+    assert got["x"][2] == "too many redirects" and got["z"] == (None, 1, "unknown url")
+
+
 def test_markdown_and_json(spark, tmp_path):
     (tmp_path / "b.md").write_text("# b é", encoding="utf-8")
     (tmp_path / "a.md").write_text("a")
