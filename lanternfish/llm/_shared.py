@@ -97,7 +97,7 @@ def clash_free(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held whole on both sides of the worker's pipe.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

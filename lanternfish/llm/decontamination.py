@@ -18,6 +18,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.sources import tables
+
 #: Token positions that each mask keeps, of SPAN.
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 6, 7, 8), (0, 1, 2, 5, 6, 8))
 SPAN = 9
@@ -78,7 +80,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", key: str
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, bench = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contaminated(docs, bench).drop("finger")
 
 

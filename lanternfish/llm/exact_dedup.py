@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternfish.llm._shared import clash_free, lean, partitions_for, small_batches, text_bytes
+from lanternfish.sources import tables
 
 #: Widths of the successive digits in bytes; the last repeats.
 WIDTHS = (8, 24, 96, 384, 1536, 6144, 24576, 98304)
@@ -229,8 +230,8 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs.select("doc_id", "text"), payload=["doc_id"])
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    return exact_dedup(docs, payload=["doc_id"])
 
 
 SQL = """

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import clash_free, lean, small_batches
+from lanternfish.sources import tables
 
 OUT = ("title", "rendered", "n_blocks")
 TAG = re.compile(
@@ -408,6 +409,5 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    out = extract(pages.select("page_id", "html"))
+    out = extract(tables.read(spark, f"{sf_dir}/pages.parquet", "page_id", "html"))
     return out.select("page_id", "title", F.col("rendered").alias("text"), "n_blocks")

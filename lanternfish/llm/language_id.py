@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import clash_free, crc_mod, lean, small_batches
 from lanternfish.llm._tokens import mix64
+from lanternfish.sources import tables
 
 ORDER = 5
 #: Characters of labelled text, all languages together, on which the models are fitted (about; the documented bound).
@@ -263,6 +264,6 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), train(training_rows(docs)))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import lean, materialize
+from lanternfish.sources import tables
 
 #: Words of a block; slots of an output shard; most shards planned; documents of a bucket for prefix sums.
 BLOCK = 256
@@ -161,5 +162,5 @@ class Mix:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "source")
     return Mix(docs).counts().select("doc_id", *OUT)

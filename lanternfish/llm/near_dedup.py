@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from lanternfish.llm._graph import connected_components
 from lanternfish.llm._shared import lean, materialize, partitions_for, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
+from lanternfish.sources import tables
 
 SHINGLE = 5
 PERMUTATIONS, BANDS = 96, 32
@@ -222,7 +223,7 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("finger")
+    return near_dedup(tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")).drop("finger")
 
 
 SQL = r"""

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import clash_free, lean, materialize, release, small_batches
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
+from lanternfish.sources import tables
 
 WINDOW = 50
 #: A null key is larger than any other: it makes no other document's words repeats.
@@ -206,8 +207,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = remove_repeats(docs.select("doc_id", "text"), payload=["doc_id"])
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    out = remove_repeats(docs, payload=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import lean, small_batches
+from lanternfish.sources import tables
 
 #: Rows from which the table of frequent pre-tokens is fitted, and the most entries it may have.
 SAMPLE_ROWS = 2000
@@ -107,5 +108,5 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lanternfish.llm import html_render
 from lanternfish.llm._graph import connected_components
 from lanternfish.llm._shared import lean, materialize, small_batches
+from lanternfish.sources import tables
 
 #: (host, path, verdict) of the query's rules.
 RULES = (
@@ -147,7 +148,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("component")
+    return judge(tables.read(spark, f"{sf_dir}/pages.parquet", "page_id", "url", "html")).drop("component")
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
