@@ -78,7 +78,8 @@ def score(index: DataFrame, stats_: DataFrame, queries: DataFrame, keys: list[st
     """qid, keys, score of every chunk that has a query term. index: postings, of query terms at least."""
     terms = query_terms(queries)
     hits = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = F.broadcast(document_frequency(hits))  # a row per query term
+    # A row per query term. It reads tf so that both uses of hits keep one plan, and Spark shuffles it once.
+    df = F.broadcast(hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")))
     joined = hits.join(df, "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats_.select("n", "avgdl")))
     part = scoring.bm25_term(scoring.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
     return joined.groupBy("qid", *keys).agg(F.sum(part).alias("score"))

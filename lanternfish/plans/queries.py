@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import guards, scoring, text
 from lanternfish.operators import bm25, chunking, embed, hybrid, ingest, limiter, redirects, store, vector
+from lanternfish.sources import tables
 
 SIZE, OVERLAP = 400, 50
 KEYS = ["doc_id", "ord"]
@@ -20,11 +21,11 @@ BUCKET_LIMIT, BUCKET_WINDOW = 2, 86400
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.read(spark, f"{sf}/{name}.parquet")
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("content"))
+    return tables.read(spark, f"{sf}/documents.parquet", "doc_id", "source", "text").withColumnRenamed("text", "content")
 
 
 def chunks(spark, sf) -> DataFrame:
@@ -55,7 +56,7 @@ def with_vectors(spark, sf, which=BATCH) -> DataFrame:
 def embedded(spark, sf) -> DataFrame:
     """Chunks of documents that have a vector (vec_id = doc_id, by our convention)."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return chunks(spark, sf).join(vectors, "doc_id")
+    return chunking.chunk(documents(spark, sf).join(vectors, "doc_id"), SIZE, OVERLAP).withColumnRenamed("order", "ord")
 
 
 def r9(c):
