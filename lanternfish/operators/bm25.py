@@ -85,24 +85,53 @@ def score(index: DataFrame, stats_: DataFrame, queries: DataFrame, keys: list[st
     return joined.groupBy("qid", *keys).agg(F.sum(part).alias("score"))
 
 
+def _asked(queries: DataFrame) -> dict[str, list[int]]:
+    """Query ids by term, on the driver: bounded by the request limits."""
+    out: dict[str, list[int]] = {}
+    for r in query_terms(queries).collect():
+        out.setdefault(r["term"], []).append(r["qid"])
+    return out
+
+
+def _weigh(hits: DataFrame, n: int, avgdl: float, df: dict[str, int], asked: dict[str, list[int]], keys: list[str]) -> DataFrame:
+    """qid, keys, score from postings of the asked terms: frequencies are literals, so there is no join."""
+    idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in asked if df.get(t)}
+    if not idf:
+        return hits.limit(0).select(F.lit(0).cast("long").alias("qid"), *keys, F.lit(0.0).alias("score"))
+    weight = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
+    part = scoring.bm25_term(weight[F.col("term")], F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
+    who = F.create_map(*[x for t in idf for x in (F.lit(t), F.array(*map(F.lit, asked[t])).cast("array<long>"))])
+    return hits.select(F.explode(who[F.col("term")]).alias("qid"), *keys, part.alias("part")).groupBy("qid", *keys).agg(F.sum("part").alias("score"))
+
+
 def lookup(index: DataFrame, n: int, avgdl: float, queries: DataFrame, keys: list[str]) -> DataFrame:
     """score() over a stored index whose statistics are known, with the least latency.
 
     Terms and their document frequencies come to the driver (a row per query term, bounded by the request
     limits) and return as literals: the last job is one pruned scan and one aggregation, without a join.
     """
-    asked: dict[str, list[int]] = {}
-    for r in query_terms(queries).collect():
-        asked.setdefault(r["term"], []).append(r["qid"])
+    asked = _asked(queries)
     hits = index.filter(F.col("term").isin(list(asked))) if asked else index.limit(0)
     df = {r["term"]: r["df"] for r in document_frequency(hits).collect()}
-    pairs = lambda f: F.create_map(*[F.lit(x) for t in df for x in (t, f(t))]) if df else F.lit(None).cast("map<string,double>")
-    part = scoring.bm25_term(pairs(lambda t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))[F.col("term")], F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
-    if len({q for qs in asked.values() for q in qs}) <= 1:
-        one = next(iter(asked.values()), [0])[0]
-        return hits.groupBy(*keys).agg(F.sum(part).alias("score")).select(F.lit(one).cast("long").alias("qid"), *keys, "score")
-    who = F.create_map(*[x for t in df for x in (F.lit(t), F.array(*map(F.lit, asked[t])).cast("array<long>"))]) if df else F.lit(None).cast("map<string,array<long>>")
-    return hits.select(F.explode(who[F.col("term")]).alias("qid"), *keys, part.alias("part")).groupBy("qid", *keys).agg(F.sum("part").alias("score"))
+    return _weigh(hits, n, avgdl, df, asked, keys)
+
+
+def score_chunks(chunks: DataFrame, keys: list[str], queries: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(qid, keys, score; statistics) straight from chunks, in two passes.
+
+    The first counts chunks, tokens, and the chunks with each query term, into one row; the second finds the
+    terms' frequencies within chunks.
+    """
+    asked = _asked(queries)
+    terms = list(asked)
+    cut = chunks.select(text.tokens(F.col(content)).alias("_t"))
+    counts = [F.coalesce(F.sum(F.size("_t")), F.lit(0)).cast("long").alias("total"), *(F.count_if(F.array_contains("_t", t)).alias(f"t{k}") for k, t in enumerate(terms))]
+    r = cut.agg(F.count("*").alias("n"), *counts).first()
+    n, total = r["n"], r["total"]
+    avgdl = total / n if n else 0.0
+    known = chunks.sparkSession.createDataFrame([(n, total, avgdl)], "n long, total_length long, avgdl double")
+    found = _weigh(matches(chunks, keys, queries, content), n, avgdl, {t: r[f"t{k}"] for k, t in enumerate(terms)}, asked, keys)
+    return found, known
 
 
 def spread(scores: DataFrame, stats_: DataFrame, queries: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: f
     keys, which give corpus order. index, stats: stored postings and statistics; made from chunks if absent.
     Content stays behind: join it back to the k winners with materialise().
     """
-    index = bm25.matches(chunks, keys, queries) if index is None else index
-    stats = bm25.stats(bm25.lengths(chunks, keys)) if stats is None else stats
-    words = bm25.score(index, stats, queries, keys)
+    if index is None or stats is None:
+        words, stats = bm25.score_chunks(chunks, keys, queries)
+    else:
+        words = bm25.score(index, stats, queries, keys)
     ends = bm25.spread(words, stats, queries)
     near = vector.cosine(chunks, queries, keys)
     both = near.join(words, ["qid", *keys], "left").join(F.broadcast(ends), "qid")

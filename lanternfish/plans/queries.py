@@ -116,7 +116,7 @@ def query_terms(spark, sf):
 
 
 def _keyword(c: DataFrame, queries: DataFrame) -> DataFrame:
-    return bm25.score(bm25.matches(c, KEYS, queries), bm25.stats(bm25.lengths(c, KEYS)), queries, KEYS)
+    return bm25.score_chunks(c, KEYS, queries)[0]
 
 
 def bm25_single(spark, sf):
@@ -129,8 +129,7 @@ def bm25_batch(spark, sf):
 
 def bm25_minmax(spark, sf):
     c, q = chunks(spark, sf), queries_df(spark)
-    stats = bm25.stats(bm25.lengths(c, KEYS))
-    scores = bm25.score(bm25.matches(c, KEYS, q), stats, q, KEYS)
+    scores, stats = bm25.score_chunks(c, KEYS, q)
     ends = bm25.spread(scores, stats, q)
     every = c.select(*KEYS).crossJoin(F.broadcast(q.select("qid"))).join(scores, ["qid", *KEYS], "left").join(F.broadcast(ends), "qid")
     return every.select("qid", *KEYS, r9(scoring.min_max(F.coalesce("score", F.lit(0.0)), F.col("low"), F.col("high"))).alias("keyword_score"))
