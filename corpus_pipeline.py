@@ -13,6 +13,10 @@ from lanternfish.llm import decontamination, exact_dedup, language_id, mixing, n
 from lanternfish.llm._shared import materialize
 
 
+#: Similarity in percent from which the near-dedup stage links two documents; op8's own contract is 85.
+NEAR_PERCENT = 80
+
+
 def _keep(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Rows of docs that found (doc_id, finger) has (left_semi) or lacks (left_anti)."""
     marked = docs.withColumn("p_finger", F.xxhash64("text"))
@@ -35,7 +39,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
-    return _keep(docs, near_dedup.near_dedup(docs).filter("kept").select("doc_id", "finger").distinct(), "left_semi")
+    groups = near_dedup.near_dedup(docs, percent=NEAR_PERCENT)
+    return _keep(docs, groups.filter("kept").select("doc_id", "finger").distinct(), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

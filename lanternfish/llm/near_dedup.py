@@ -6,7 +6,8 @@ form a class first, and only classes are banded. Classes that share a key, direc
 candidate family (connected components over stars, never pairs). Links are confirmed inside families on the
 full shingle sets, and connected components over the confirmed links give the groups.
 
-A link at a similarity of 0.85 shares no key with probability (1 - 0.85**6)**32 = 3e-7.
+A link at a similarity of 0.85 shares no key with probability (1 - 0.85**6)**32 = 3e-7,
+one at 0.80 with (1 - 0.80**6)**32 = 6e-5.
 A small family is one block of a task. A large one is cut into bands of set size (a link never skips a band)
 and salted blocks, and each pair of blocks that can hold links is a unit of work of bounded size.
 """

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.test_operators import ENGLISH, GERMAN, words
+from tests.llm.test_operators import DOCS, ENGLISH, GERMAN, shingles, words
 
 
 def test_pipeline(spark, tmp_path):
@@ -36,3 +36,20 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages():
     assert len(corpus_pipeline.STAGES) == 5 and [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
+
+
+def test_near_stage_links_from_80_percent(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(0, 20, 2):
+        t = words(rng, 150).split()
+        near, far = list(t), list(t)
+        for at in (30, 70, 110):
+            near[at] = f"n{k}"
+        for at in (20, 50, 80, 110):
+            far[at] = f"f{k}"
+        a, b, c = (shingles(" ".join(x)) for x in (t, near, far))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.83 and len(a & c) / len(a | c) < 0.80 and len(b & c) / len(b | c) < 0.80
+        rows += [(k, " ".join(t)), (k + 1, " ".join(near)), (100 + k, " ".join(far))]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, DOCS), "")
+    assert {r["doc_id"] for r in out.collect()} == {i for i, _ in rows if i % 2 == 0}
