@@ -3,8 +3,9 @@
 One model per language over the letters of words (with word edges), stored together in sorted arrays of
 n-gram hashes: for each n-gram that any language has seen, the log-probability under every language, and for
 each context the interpolation weights. A text gets the language of the lowest cross-entropy per character.
-It is rejected where that entropy lies beyond what a calibration part of the sample allows for its length, and
-beyond that of texts wholly in another learned language: a text that mixes learned languages stays.
+It is rejected by another figure, the entropy with each word under its best learned language, so that a text
+that mixes learned languages stays. The limit lies between what a calibration part of the sample shows for its
+length and what its texts show to the models of all languages but their own, which stand for unlearned ones.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from lanternfish.sources import tables
 ORDER = 5
 #: Characters of labelled text, all languages together, on which the models are fitted (about; the documented bound).
 SAMPLE_CHARS = 6_000_000
-#: Standard deviations beyond which a text is rejected, at least.
+#: Standard deviations beyond which a text is rejected, at least, where a single language is learned.
 LEAST_Z = 8.0
+#: What it weighs to reject a share of texts in learned languages, against keeping that share of others.
+OWN_WEIGHT = 20.0
+#: Calibration texts below which a language has no figures of its own.
+FEW_TEXTS = 8
 #: Words kept in a worker's cache.
 CACHE_WORDS = 150_000
 #: Weight of a nat per character in the confidence score.
@@ -141,21 +146,27 @@ def word_scores(model: dict, words: list[str]) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts with a bounded cache of words."""
+    """Scores texts with a bounded cache of words, under all languages or all but one."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, without: int | None = None):
         self.model, self.index = model, {}
-        self.table = np.zeros((0, len(model["langs"]) + 1))
+        self.langs = [j for j in range(len(model["langs"])) if j != without]
+        self.table = np.zeros((0, len(self.langs) + 2))
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        scores = word_scores(self.model, words)
+        own = scores[:, self.langs]
+        return np.column_stack([own, own.max(axis=1), scores[:, -1]])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """A row per text: log-probability by language, then the number of characters."""
+        """A row per text: log-probability by language, that of each word's best language, the number of characters."""
         found = [LETTERS(t.lower()) if t else [] for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.index, self.table = {}, self.table[:0]
         new = sorted({w for words in found for w in words if w not in self.index})
         if new:
             self.index.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, *(word_scores(self.model, new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+            self.table = np.concatenate([self.table, *(self._rows(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
         out = np.zeros((len(texts), self.table.shape[1]))
         for row, words in enumerate(found):
             if words:
@@ -173,6 +184,53 @@ def _sample(labelled: DataFrame, chars: int) -> list:
     return labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < cut[F.col("lang")]).select("doc_id", "lang", "text").collect()
 
 
+def _distance(scores: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Standard deviations by which texts lie beyond the mean of the language that fits them best."""
+    mean, between, per_char = limits[scores[:, :-2].argmax(axis=1), :3].T
+    chars = np.maximum(scores[:, -1], 1)
+    return (-scores[:, -2] / chars - mean) / np.sqrt(between + per_char / chars + 1e-9)
+
+
+def _cut(own: np.ndarray, foreign: np.ndarray) -> float:
+    """The middle of the distances that part own from foreign texts best; own ones weigh OWN_WEIGHT times as much."""
+    if not len(foreign):
+        return max(LEAST_Z, 1.5 * own.max())
+    at = np.unique(np.concatenate([own, foreign]))
+    lost = 1 - np.searchsorted(np.sort(own), at, "right") / len(own)
+    kept = np.searchsorted(np.sort(foreign), at, "right") / len(foreign)
+    cost = OWN_WEIGHT * lost + kept
+    good = np.flatnonzero(cost <= cost.min() + 0.005)
+    return float(at[good[0]] + at[min(good[-1] + 1, len(at) - 1)]) / 2
+
+
+def _limits(model: dict, texts: list[str], owner: np.ndarray) -> np.ndarray:
+    """By language: mean entropy of its texts, variance between them, variance of a character, and the distance to reject at.
+
+    A language of few texts takes the figures of all together; where there are few in all, nothing is rejected.
+    """
+    langs = range(len(model["langs"]))
+    scores = Scorer(model)(texts)
+    learned = (owner >= 0) & (scores[:, -1] > 0)
+    if learned.sum() < FEW_TEXTS:
+        return np.tile([0.0, 0.0, 0.0, np.inf], (len(langs), 1))
+
+    def figures(own):
+        entropy, n = -own[:, -2] / own[:, -1], own[:, -1]
+        mean = np.average(entropy, weights=n)
+        per_char = np.median((entropy - mean) ** 2 * n) / 0.455  # the median of a chi-square of one degree
+        long = n > 500
+        return mean, np.median((entropy[long] - mean) ** 2) / 0.455 if long.any() else 0.05, per_char, np.inf
+
+    rows = [learned & (owner == j) for j in langs]
+    limits = np.array([figures(scores[x if x.sum() >= FEW_TEXTS else learned]) for x in rows])
+    foreign = []
+    for j in langs if len(langs) > 1 else ():
+        out = Scorer(model, without=j)([texts[i] for i in np.flatnonzero(rows[j])])
+        foreign.append(_distance(out, np.delete(limits, j, axis=0)))
+    limits[:, 3] = _cut(_distance(scores[learned], limits), np.concatenate(foreign) if foreign else np.zeros(0))
+    return limits
+
+
 def train(labelled: DataFrame, chars: int = SAMPLE_CHARS, order: int = ORDER) -> dict | None:
     """Models and rejection limits from doc_id, lang, text rows; None without any letter to learn from.
 
@@ -190,23 +248,8 @@ def train(labelled: DataFrame, chars: int = SAMPLE_CHARS, order: int = ORDER) ->
     if not fitted:
         return None
     model = fit(fitted, order)
-    scores = Scorer(model)([r["text"] for r in apart])
-    limits = np.zeros((len(model["langs"]), 5))  # mean, variance between texts, variance of a character, z, another language's entropy
-    owner = np.array([model["langs"].index(r["lang"]) if r["lang"] in fitted else -1 for r in apart])
-    for j in range(len(model["langs"])):
-        own = scores[(owner == j) & (scores[:, -1] > 0)]
-        if len(own) < 8:
-            limits[j] = (0, 0, 0, np.inf, np.inf)
-            continue
-        others = [scores[owner == k] for k in range(len(model["langs"])) if k != j]
-        foreign = max((-x[:, j].sum() / x[:, -1].sum() for x in others if x[:, -1].sum() > 0), default=0.0)
-        entropy, n = -own[:, j] / own[:, -1], own[:, -1]
-        mean = np.average(entropy, weights=n)
-        per_char = np.median((entropy - mean) ** 2 * n) / 0.455  # the median of a chi-square of one degree
-        between = max(0.0, float(np.var(entropy[n > 500]))) if (n > 500).any() else 0.05
-        z = np.abs(entropy - mean) / np.sqrt(between + per_char / n + 1e-9)
-        limits[j] = (mean, between, per_char, max(LEAST_Z, 1.5 * z.max()), foreign)
-    model["limits"] = limits
+    owner = np.array([model["langs"].index(r["lang"]) if r["lang"] in fitted else -1 for r in apart], dtype=int)
+    model["limits"] = _limits(model, [r["text"] for r in apart], owner)
     return model
 
 
@@ -237,12 +280,11 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
                     high += 1
                 sums = scorer(texts[low:high])
                 chars = sums[:, -1]
-                entropy = -sums[:, :-1] / np.maximum(chars, 1)[:, None]
+                entropy = -sums[:, :-2] / np.maximum(chars, 1)[:, None]
                 best = entropy.argmin(axis=1)
                 lowest = entropy[np.arange(len(best)), best]
                 weight = np.exp(-SHARPNESS * (entropy - lowest[:, None]))
-                mean, between, per_char, z, foreign = model["limits"][best].T
-                far = lowest > np.maximum(foreign, mean + z * np.sqrt(between + per_char / np.maximum(chars, 1) + 1e-9))
+                far = _distance(sums, model["limits"]) > model["limits"][best, 3]
                 for i in np.flatnonzero(chars > 0):
                     pred[low + i], ent[low + i] = model["langs"][best[i]], float(lowest[i])
                     conf[low + i], rej[low + i] = 1 / weight[i].sum(), far[i]

@@ -210,6 +210,25 @@ def test_language_id(spark):
     assert language_id.identify(clash, model).columns == ["doc_id", "text", "lang", "lang_pred", "score", "entropy", "rejected"]
 
 
+FRENCH = "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son aux ses mais comme ou nous leur elle été cette fait tout être deux même aussi bien entre peut sans lui où vous encore depuis".split()
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_language_id_rejects_an_unlearned_language(spark, few):
+    """French and letter junk among models of English and German; also where a language has few rows to calibrate on."""
+    rng = random.Random(8)
+    german = 15 if few else 200
+    rows = [(k, words(rng, rng.choice([15, 60, 200]), GERMAN if k < german else ENGLISH), "de" if k < german else "en") for k in range(500)]
+    french = [(1000 + k, words(rng, rng.choice([15, 60, 200]), FRENCH), None) for k in range(60)]
+    junk = [(2000 + k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(7)) for _ in range(30)), None) for k in range(20)]
+    mixed = [(3000 + k, " ".join(words(rng, 5, v) for v in (ENGLISH, GERMAN) * 4), None) for k in range(20)]
+    df = frame(spark, rows + french + junk + mixed, "doc_id long, text string, lang string")
+    out = language_id.identify(df, language_id.train(language_id.training_rows(df))).filter("rejected").collect()
+    gone = {r["doc_id"] for r in out}
+    assert {i for i, _, _ in french + junk} <= gone
+    assert not gone & {i for i, _, _ in rows + mixed}
+
+
 def test_kneser_ney_sums_to_one():
     """Every context's probabilities over the alphabet and the word's end sum to one."""
     counts = Counter(ENGLISH * 3 + ["that"] * 20)
