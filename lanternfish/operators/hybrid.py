@@ -13,8 +13,8 @@ from lanternfish.schema import DEFAULT_TYPE, EVIDENCE_VERSION, UNKNOWN_SOURCE
 def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """qid, rank, keys, confidence, vector_score, keyword_score of each query's k best chunks.
 
-    chunks: keys, content, embedding. queries: qid, query, query_vec; bounded by the request limits. Ties go by
-    keys, which give corpus order. index, stats: stored postings and statistics; made from chunks if absent.
+    chunks: keys, content, embedding (null: cosine 0). queries: qid, query, query_vec; bounded by the request limits.
+    Ties go by keys, which give corpus order. index, stats: stored postings and statistics; made from chunks if absent.
     Content stays behind: join it back to the k winners with materialise().
     """
     if index is None or stats is None:
@@ -22,7 +22,7 @@ def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: f
     else:
         words = bm25.score(index, stats, queries, keys)
     ends = bm25.spread(words, stats, queries)
-    near = vector.cosine(chunks, queries, keys)
+    near = vector.cosine(chunks, queries, keys).withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
     both = near.join(words, ["qid", *keys], "left").join(F.broadcast(ends), "qid")
     keyword = scoring.min_max(F.coalesce("score", F.lit(0.0)), F.col("low"), F.col("high"))
     fused = both.select("qid", *keys, "vector_score", keyword.alias("keyword_score")).withColumn("confidence", scoring.fuse(F.col("vector_score"), F.col("keyword_score"), wv, wk))

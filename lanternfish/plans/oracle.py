@@ -76,6 +76,17 @@ fused AS (SELECT qid, doc_id, ord, vector_score, keyword_score, 0.65 * vector_sc
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 9) DESC, doc_id, ord) AS INTEGER) AS rank FROM fused) WHERE rank <= {k})"""
 
 
+EVERY_DOCUMENT = cut("all_chunks", "documents", "doc_id, source", "text") + ", chunks AS (SELECT a.*, embedding FROM all_chunks a LEFT JOIN embeddings e ON e.vec_id = a.doc_id)"
+
+
+def ranked_every(which, k: int) -> str:
+    """ranked() over chunks of all documents, a missing vector counting as cosine 0."""
+    return f"""{every(which, EVERY_DOCUMENT)},
+near AS (SELECT qid, doc_id, ord, coalesce({COS.format('c.embedding', 'e.embedding')}, 0.0) AS vector_score FROM chunks c CROSS JOIN q JOIN embeddings e ON e.vec_id = q.vec_id),
+fused AS (SELECT qid, doc_id, ord, vector_score, keyword_score, 0.65 * vector_score + 0.35 * keyword_score AS confidence FROM near JOIN kw USING (qid, doc_id, ord)),
+best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 9) DESC, doc_id, ord) AS INTEGER) AS rank FROM fused) WHERE rank <= {k})"""
+
+
 R3 = "round(confidence, 3) AS confidence, round(vector_score, 3) AS vector_score, round(keyword_score, 3) AS keyword_score"
 LOG = "log AS (SELECT event_id AS pos, CAST(user_id AS VARCHAR) AS source, event_id % 5 + 1 AS n, event_type = 'error' AS removed FROM events)"
 LIVE = f"{LOG}, last AS (SELECT source, max(pos) AS pos FROM log GROUP BY source), live AS (SELECT source, pos, n FROM log JOIN last USING (source, pos) WHERE NOT removed)"
@@ -118,6 +129,7 @@ SELECT qid, rank, vec_id, round(s, 6) AS vector_score FROM r WHERE rank <= {k}""
         "cosine_batch_topk": cos_best(BATCH, 10),
         "cosine_zero_vector": "SELECT vec_id, 0.0::DOUBLE AS vector_score FROM embeddings",
         "hybrid_search": f"WITH {ranked([SINGLE], TOP)} SELECT rank, doc_id, ord, {R3} FROM best",
+        "hybrid_every_document": f"WITH {ranked_every(BATCH, TOP)} SELECT qid, rank, doc_id, ord, {R3} FROM best",
         "hybrid_batch": f"WITH {ranked(BATCH, TOP)} SELECT qid, rank, doc_id, ord, {R3} FROM best",
         "evidence": f"WITH {ranked(BATCH, 10)} SELECT qid, rank, content, source, 'documentation' AS type, {R3}, CAST(doc_id AS VARCHAR) AS id FROM best JOIN chunks USING (doc_id, ord)",
         "evidence_json": f"WITH {ranked(BATCH, 3)}, e AS (SELECT qid, rank, {{'content': content, 'source': source, 'type': 'documentation', 'confidence': round(confidence, 3), 'metadata': {{'vector_score': round(vector_score, 3), 'keyword_score': round(keyword_score, 3), 'id': CAST(doc_id AS VARCHAR)}}}} AS e FROM best JOIN chunks USING (doc_id, ord)) SELECT qid, CAST(to_json({{'schema_version': '1.0', 'query': any_value(query), 'results': list(e ORDER BY rank)}}) AS VARCHAR) AS reply FROM e JOIN q USING (qid) GROUP BY qid",

@@ -59,6 +59,12 @@ def embedded(spark, sf) -> DataFrame:
     return chunking.chunk(documents(spark, sf).join(vectors, "doc_id"), SIZE, OVERLAP).withColumnRenamed("order", "ord")
 
 
+def every_document(spark, sf) -> DataFrame:
+    """Chunks of all documents; embedding is null where a document has no vector."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return chunking.chunk(documents(spark, sf).join(vectors, "doc_id", "left"), SIZE, OVERLAP).withColumnRenamed("order", "ord")
+
+
 def r9(c):
     return F.round(c, 9)
 
@@ -189,6 +195,12 @@ def hybrid_batch(spark, sf):
     return _scores(_ranked(spark, sf)).select("qid", "rank", *KEYS, "confidence", "vector_score", "keyword_score")
 
 
+def hybrid_every_document(spark, sf):
+    """The batch over chunks of all documents: a missing vector counts as cosine 0."""
+    rows = hybrid.search(every_document(spark, sf), with_vectors(spark, sf), KEYS, TOP)
+    return _scores(rows).select("qid", "rank", *KEYS, "confidence", "vector_score", "keyword_score")
+
+
 def _evidence(spark, sf, k):
     wide = hybrid.materialise(_ranked(spark, sf, BATCH, k), chunks(spark, sf), KEYS)
     item = hybrid.evidence(F.col("content"), F.col("source"), F.lit(None).cast("string"), F.col("confidence"), F.col("vector_score"), F.col("keyword_score"), F.col("doc_id").cast("string"))
@@ -376,7 +388,7 @@ def embed_sparse(spark, sf):
 
 ALL = (
     chunk_windows, chunk_counts_by_source, chunk_tail_contained, corpus_two_layers, corpus_size, term_counts, doc_lengths, document_frequency, corpus_stats, idf_table, query_terms,
-    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_zero_vector, hybrid_search, hybrid_batch, evidence, evidence_json,
+    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_zero_vector, hybrid_search, hybrid_batch, hybrid_every_document, evidence, evidence_json,
     passages, evidence_defaults, page_title, page_article_text, page_metadata, page_markdown, ingest_pages_chunks, ingest_status, ingest_batch_dedup, page_payload, ingest_summary,
     source_upsert_latest, manifest_replay, store_stats, compaction_due, delete_sources, orphan_segments, corpus_hash, request_bounds, url_guard, content_type_guard, ip_guard, redirect_chains,
     key_fingerprint, token_bucket, embed_hashing, embed_sparse,
