@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import scoring
 
+#: Queries of a pass over the corpus: a task scores them against one Arrow batch at a time.
+BLOCK_QUERIES = 512
+
 
 def cosine(chunks: DataFrame, queries: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """qid, keys, vector_score of each chunk and query (qid, query_vec). Queries are bounded by the request limits."""
@@ -24,9 +29,12 @@ def top_cosine(chunks: DataFrame, queries: list[tuple[int, list[float]]], key: s
     """
     ids = [q for q, _ in queries]
     matrix = np.array([v for _, v in queries], dtype=np.float64)
-    size = np.linalg.norm(matrix, axis=1)
+    # A broadcast lives in a file of the driver; a closure would keep the matrix in its memory with the plan.
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix, np.linalg.norm(matrix, axis=1)))
+    del ids, matrix
 
     def run(batches):
+        ids, matrix, size = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
         for batch in batches:
             if not batch.num_rows:
@@ -49,6 +57,24 @@ def top_cosine(chunks: DataFrame, queries: list[tuple[int, list[float]]], key: s
     return rank(found, F.round("vector_score", 9), [key], k)
 
 
+def top_cosine_each(chunks: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
+    """qid, key, vector_score, rank of the k best chunks of every row (qid, query_vec) of queries, however many.
+
+    Queries go out in blocks of about BLOCK_QUERIES: the driver holds one at a time, and each block is a pass over
+    the chunks. Queries without a vector find nothing.
+    """
+    queries = queries.filter(F.col("query_vec").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "query_vec")
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    passes = []
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+        if block:
+            passes.append(top_cosine(chunks, [(r["qid"], r["query_vec"]) for r in block], key, k, vector))
+    if not passes:
+        return chunks.sparkSession.createDataFrame([], f"qid long, {key} long, vector_score double, rank int")
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
 def rank(scores: DataFrame, by, ties: list[str], k: int) -> DataFrame:
     """The k best rows of each qid with their rank from 1; each task drops all but its own k first."""
     from pyspark.sql import Window

@@ -127,6 +127,9 @@ SELECT qid, rank, vec_id, round(s, 6) AS vector_score FROM r WHERE rank <= {k}""
         "bm25_incremental": f"WITH {CHUNKS}, {TURNS}, l AS (SELECT len({tokens('content')}) AS dl FROM (SELECT content FROM chunks WHERE source <> 'src7' UNION ALL SELECT content FROM turns)) SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS total_length, round(sum(dl) / count(*), 9) AS avgdl FROM l",
         "cosine_topk": f"SELECT rank, vec_id, vector_score FROM ({cos_best([SINGLE], 5)})",
         "cosine_batch_topk": cos_best(BATCH, 10),
+        "cosine_every_100th_topk": f"""WITH s AS (SELECT e.vec_id AS qid, c.vec_id, {COS.format('c.embedding', 'e.embedding')} AS s FROM embeddings c CROSS JOIN embeddings e WHERE e.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT qid, rank, vec_id, round(s, 6) AS vector_score FROM r WHERE rank <= 10""",
         "cosine_zero_vector": "SELECT vec_id, 0.0::DOUBLE AS vector_score FROM embeddings",
         "hybrid_search": f"WITH {ranked([SINGLE], TOP)} SELECT rank, doc_id, ord, {R3} FROM best",
         "hybrid_every_document": f"WITH {ranked_every(BATCH, TOP)} SELECT qid, rank, doc_id, ord, {R3} FROM best",

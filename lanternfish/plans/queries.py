@@ -171,6 +171,14 @@ def cosine_batch_topk(spark, sf):
     return best.select("qid", "rank", "vec_id", F.round("vector_score", 6).alias("vector_score"))
 
 
+def cosine_every_100th_topk(spark, sf):
+    """The ten nearest of every row whose id is divisible by 100, among all rows."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vec"))
+    best = vector.top_cosine_each(vectors, asked, "vec_id", 10)
+    return best.select("qid", "rank", "vec_id", F.round("vector_score", 6).alias("vector_score"))
+
+
 def cosine_zero_vector(spark, sf):
     zero = spark.createDataFrame([(1, [0.0] * 64)], "qid long, query_vec array<float>")
     return vector.cosine(table(spark, sf, "embeddings"), zero, ["vec_id"]).select("vec_id", "vector_score")
@@ -388,7 +396,7 @@ def embed_sparse(spark, sf):
 
 ALL = (
     chunk_windows, chunk_counts_by_source, chunk_tail_contained, corpus_two_layers, corpus_size, term_counts, doc_lengths, document_frequency, corpus_stats, idf_table, query_terms,
-    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_zero_vector, hybrid_search, hybrid_batch, hybrid_every_document, evidence, evidence_json,
+    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_every_100th_topk, cosine_zero_vector, hybrid_search, hybrid_batch, hybrid_every_document, evidence, evidence_json,
     passages, evidence_defaults, page_title, page_article_text, page_metadata, page_markdown, ingest_pages_chunks, ingest_status, ingest_batch_dedup, page_payload, ingest_summary,
     source_upsert_latest, manifest_replay, store_stats, compaction_due, delete_sources, orphan_segments, corpus_hash, request_bounds, url_guard, content_type_guard, ip_guard, redirect_chains,
     key_fingerprint, token_bucket, embed_hashing, embed_sparse,

@@ -56,3 +56,14 @@ def test_hybrid_search_finds_documents_without_a_vector(spark, tmp_path):
     out = entry_point.queries()["hybrid_every_document"](spark, str(tmp_path)).filter("qid = 1").orderBy("rank").collect()
     assert [r["doc_id"] for r in out[:11]] == [7, *range(80, 90)]
     assert all(r["keyword_score"] == 1 and r["vector_score"] == 0 for r in out[1:11])
+
+
+def test_vector_search_of_a_table_in_blocks(spark, monkeypatch):
+    from lanternfish.operators import vector
+
+    run = lambda: sorted(tuple(r) for r in entry_point.queries()["cosine_every_100th_topk"](spark, str(DATA)).collect())
+    whole = run()
+    asked = spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id % 100 = 0").count()
+    assert len(whole) == 10 * asked and {r[0] % 100 for r in whole} == {0}
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 1)
+    assert run() == whole
