@@ -34,10 +34,10 @@ def text_bytes(column) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir; where that is unset, one in the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints"
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lanternfish-checkpoints"
     return folder.rstrip("/")
 
 
@@ -90,6 +90,30 @@ def partitions_for(spark: SparkSession, weight: float, per_partition: float) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(weight / per_partition))
 
 
+#: Rows of one key from which its rows are dealt over several tasks, whatever the table's size.
+HUB_LEAST = 1000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, by) -> DataFrame:
+    """rows joined with facts, a written table with a row per key and in n the number of its rows, or more.
+
+    Keys of more than HUB_LEAST rows and more than a thousandth of all, under a thousand whatever the data, are
+    dealt over all tasks by the column by, and their facts repeated in each. n is left out.
+    """
+    spark = rows.sparkSession
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hubs = facts.filter(F.col(n) > max(HUB_LEAST, total // 1000)).select(*on).collect()  # under a thousand rows
+    facts = facts.drop(n)
+    if not hubs:
+        return rows.join(facts.hint("merge"), on)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = F.broadcast(spark.createDataFrame(hubs, facts.select(*on).schema).withColumn("s_hub", F.lit(True)))
+    dealt = rows.join(known, on, "left").withColumn("s_salt", F.when(F.col("s_hub"), F.pmod(by, F.lit(parts)).cast("int")).otherwise(F.lit(0)))
+    salts = F.when(F.col("s_hub"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    wide = facts.join(known, on, "left").withColumn("s_salt", F.explode(salts)).drop("s_hub")
+    return dealt.drop("s_hub").join(wide.hint("merge"), [*on, "s_salt"]).drop("s_salt")
+
+
 def clash_free(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that carry the name of an output column (case ignored, as Spark does)."""
     taken = {n.lower() for n in names}
