@@ -10,11 +10,11 @@ length and what its texts show to the models of all languages but their own, whi
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ CACHE_WORDS = 150_000
 #: Weight of a nat per character in the confidence score.
 SHARPNESS = 8.0
 START, END = 1, 2
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Words: letters with their combining marks; number signs are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 OUT = ("lang_pred", "score", "entropy", "rejected")
 BASE = 0xD6E8FEB86659FD93
 
