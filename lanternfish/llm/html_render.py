@@ -26,6 +26,9 @@ TAG = re.compile(
     re.S,
 )
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+AT_RULE = re.compile(r"@([\w-]+)([^{};]*)([{;])")
+BRACE = re.compile(r"[{}]")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*?)((?:[.#][\w-]+)*)")
 #: Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,7 +51,8 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
-CELL_SCOPE = frozenset(("td", "th", "caption", "table"))
+CELL_SCOPE = frozenset(("td", "th", "caption", "table", "template"))
+P_SCOPE = CELL_SCOPE | {"button", "object", "marquee"}
 #: Deeper elements become siblings; columns are aligned up to this width.
 DEPTH, COLUMN = 150, 60
 SPAN_MOST = 1000
@@ -115,14 +119,16 @@ def parse(page: str) -> Node:
         if closing:
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
-            elif tag == "p" and not close({"p"}, CELL_SCOPE):
+            elif tag == "p" and not close({"p"}, P_SCOPE):
                 stack[-1].kids.append(Node("p", {}))
             elif tag in ("html", "body"):
                 continue
             elif re.fullmatch("h[1-6]", tag):
                 close({"h1", "h2", "h3", "h4", "h5", "h6"}, CELL_SCOPE)
+            elif tag == "table":
+                close({tag}, {"template"})
             elif tag != "p":
-                close({tag}, {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else CELL_SCOPE - {tag})
+                close({tag}, {"table", "template"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else CELL_SCOPE - {tag})
             continue
         attrs = _attributes(rest) if rest.strip(" \t\n\r\f/") else {}
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
@@ -131,10 +137,10 @@ def parse(page: str) -> Node:
                     n.attrs = attrs | n.attrs
             continue
         if tag in ENDS_P or tag == "table":
-            close({"p"}, CELL_SCOPE)
+            close({"p"}, P_SCOPE)
         if tag in IMPLIED:
             names, fences = IMPLIED[tag]
-            while close(names, fences):
+            while close(names, fences | {"template"}):
                 pass
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             open_("tr", {})
@@ -154,34 +160,68 @@ def parse(page: str) -> Node:
     return root
 
 
-def _style(text: str) -> tuple[bool, bool | None]:
-    """(not displayed, visible or None if unsaid) of style declarations."""
+def _style(text: str) -> tuple[bool | None, bool | None]:
+    """(displayed, visible) by style declarations, None if unsaid; the last of each counts, an important one before all."""
     if not text:
-        return False, None
-    flat = re.sub(r"\s+", "", text.lower())
-    shown = re.search(r"(?:^|;)visibility:(\w+)", flat)
-    return bool(re.search(r"(?:^|;)display:none", flat)), None if not shown else shown[1] == "visible"
-
-
-def _sheet(root: Node) -> dict[str, tuple[bool, bool | None]]:
-    """Simple selectors (name, .class, #id) whose rules hide; others are left alone."""
-    out: dict[str, tuple[bool, bool | None]] = {}
+        return None, None
+    told: dict[str, tuple[bool, bool]] = {}
+    for name, value in re.findall(r"(?:^|;)(display|visibility):([^;]*)", re.sub(r"\s+", "", text.lower())):
+        important = value.endswith("!important")
+        if important or not told.get(name, (False, False))[0]:
+            value = value.removesuffix("!important")
+            told[name] = (important, value != "none" if name == "display" else value == "visible")
+    return tuple(told[n][1] if n in told else None for n in ("display", "visibility"))
+
+
+def _media_rules(css: str) -> str:
+    """css with the rules of at-blocks that hold on a screen in place of the blocks; the other blocks are left out."""
+    out, at = [], 0
+    while (m := AT_RULE.search(css, at)) is not None:
+        out.append(css[at : m.start()])
+        at = m.end()
+        if m[3] == ";":
+            continue
+        depth, begin = 1, at
+        while depth and (brace := BRACE.search(css, at)) is not None:
+            depth += 1 if brace[0] == "{" else -1
+            at = brace.end()
+        if depth:
+            at = len(css)
+        kind, query = m[1].lower(), m[2].lower()
+        screen = kind == "media" and not re.search(r"\b(?:print|speech|not)\b", query) and not re.search(r"\([^)]*\)", query)
+        if screen or kind in ("layer", "supports"):
+            out.append(_media_rules(css[begin : at - 1]))
+    out.append(css[at:])
+    return "".join(out)
+
+
+def _sheet(root: Node) -> list[tuple]:
+    """(specificity, place, name, id, classes, rule) of rules that tell display or visibility, by weight.
+
+    Selectors are names, .classes and #ids and what they make up together (p.a#b); those with other parts, or
+    that look at more than one element, are left alone.
+    """
+    out: list[tuple] = []
     todo = [root]
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", "".join(k for k in node.kids if isinstance(k, str)), flags=re.S)):
+            css = re.sub(r"/\*.*?\*/", "", "".join(k for k in node.kids if isinstance(k, str)), flags=re.S)
+            for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", _media_rules(css)):
                 rule = _style(body)
-                if rule != (False, None):
+                if rule != (None, None):
                     for s in selectors.split(","):
-                        if re.fullmatch(r"[.#]?[\w-]+", s := s.strip()):
-                            out[s] = rule
-        todo += [k for k in node.kids if isinstance(k, Node)]
-    return out
+                        if m := SELECTOR.fullmatch(s.strip()):
+                            parts = re.findall(r"[.#][\w-]+", m[2])
+                            ids, classes = ([p[1:] for p in parts if p[0] == mark] for mark in "#.")
+                            name = m[1].lower() if m[1] not in ("", "*") else ""
+                            out.append(((len(ids), len(classes), bool(name)), len(out), name, ids, classes, rule))
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return sorted(out, key=lambda r: r[:2])
 
 
 class Renderer:
-    def __init__(self, sheet: dict):
+    def __init__(self, sheet: list):
         self.sheet, self.blocks = sheet, 0
 
     def hidden(self, node: Node, visible: bool) -> tuple[bool, bool]:
@@ -191,12 +231,13 @@ class Renderer:
             return True, False
         if not a and not self.sheet:
             return False, visible
-        rules = [self.sheet[k] for k in (node.tag, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id', '')}") if k in self.sheet] if self.sheet else []
-        for gone, shown in [*rules, _style(a.get("style", ""))]:
-            if gone:
-                return True, False
-            visible = visible if shown is None else shown
-        return False, visible
+        shown: bool | None = None
+        for _, _, name, ids, classes, rule in self.sheet:
+            if (not name or name == node.tag) and all(i == a.get("id") for i in ids) and all(c in a.get("class", "").split() for c in classes):
+                shown, visible = shown if rule[0] is None else rule[0], visible if rule[1] is None else rule[1]
+        own = _style(a.get("style", ""))
+        shown, visible = shown if own[0] is None else own[0], visible if own[1] is None else own[1]
+        return (True, False) if shown is False else (False, visible)
 
     def lines(self, node: Node, visible: bool = True, pre: bool = False) -> list[str]:
         """The element's content as lines; an empty one stands for a paragraph's space."""
@@ -321,23 +362,27 @@ class Renderer:
                     head.extend(self.lines(kid, seen))
 
         collect(node, visible)
-        taken: dict[tuple[int, int], bool] = {}
+        busy: dict[int, int] = {}  # by column the first row that no cell from above reaches into
         placed: list[list[tuple[int, list[str], int]]] = []
         width: dict[int, int] = {}
         for r, cells in enumerate(rows):
             line, col = [], 0
             for text, wide, high in cells:
-                while taken.get((r, col)):
+                while busy.get(col, 0) > r:
                     col += 1
                 line.append((col, text, wide))
                 if high > 1:
-                    for below in range(r + 1, min(r + high, len(rows))):
-                        for c in range(col, col + min(wide, 50)):
-                            taken[below, c] = True
+                    for c in range(col, col + wide):
+                        busy[c] = r + high
                 if wide == 1:
                     width[col] = max(width.get(col, 0), min(COLUMN, max(map(len, text), default=0)))
                 col += wide
             placed.append(line)
+        for col, text, wide in sorted((c for line in placed for c in line if c[2] > 1), key=lambda c: c[2]):
+            need = min(COLUMN, max(map(len, text), default=0))
+            have = sum(width[c] + 2 for c in range(col, col + wide) if width.get(c, 0)) - 2
+            if have < need:  # a cell over columns that are too narrow widens the last of them
+                width[col + wide - 1] = width.get(col + wide - 1, 0) + need - max(have, 0) - (2 if have > 0 and not width.get(col + wide - 1, 0) else 0)
         start, total = {}, 0
         for c in range(max(width, default=-1) + 1):
             start[c] = total
@@ -382,7 +427,8 @@ def render(page: str | None) -> tuple[str | None, str, int]:
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """Rows of df with title (null if there is none), rendered (all visible text) and n_blocks.
 
-    A null or empty page gives '' and no blocks. Markup without end, of any depth or length is rendered as far
+    A null or empty page gives '' and no blocks. Styles hide by the last rule of the greatest weight; conditional
+    media and selectors over several elements are left alone. Markup without end, of any depth or length is rendered as far
     as browsers do. Repeated rows each give a row. Columns of df named like an output column are replaced. An
     empty table gives no rows.
     """
