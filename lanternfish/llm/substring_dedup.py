@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm._shared import clash_free, lean, materialize, release, small_batches
+from lanternfish.llm._shared import clash_free, lean, materialize, release, small_batches, spread_join
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 from lanternfish.sources import tables
 
 WINDOW = 50
-#: A null key is larger than any other: it makes no other document's words repeats.
+#: A null key counts as the largest long: it makes no other document's words repeats.
 LAST = (1 << 63) - 1
 #: Seeds that a task holds at once to send equal extensions only once.
 SEEDS_HELD = 400_000
 OUT = ("n_words", "n_removed", "spans", "kept_text")
-SEEDS = "key long, finger int, a long, f long, s0 array<int>, cnt int, dup boolean"
+SEEDS = "key long, finger long, a long, f long, s0 array<int>, cnt int, dup boolean"
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def _seed(window: int):
         at = np.flatnonzero(own)
         same = key[at] > key[np.flatnonzero(new)][(np.cumsum(new) - 1)[at]]
         places = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), pa.array(s0, pa.int32()))
-        cols = [pa.array(key[at]), pa.array(finger[at], pa.int32()), pa.array(a_[at]), pa.array(f[at]), places, pa.array(cnt[at], pa.int32()), pa.array(same)]
+        cols = [pa.array(key[at]), pa.array(finger[at]), pa.array(a_[at]), pa.array(f[at]), places, pa.array(cnt[at], pa.int32()), pa.array(same)]
         return pa.RecordBatch.from_arrays(cols, names=["key", "finger", "a", "f", "s0", "cnt", "dup"])
 
     def seed(batches):
@@ -125,7 +125,7 @@ def _windows(window: int):
             if parts[0]:
                 a, w, key, finger, places, size = (np.concatenate(p) for p in parts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(places, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(key), pa.array(finger, pa.int32()), lists], names=["a", "w", "key", "finger", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(w), pa.array(key), pa.array(finger, pa.int64()), lists], names=["a", "w", "key", "finger", "s"])
 
     return windows
 
@@ -135,22 +135,24 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     spark = rows.sparkSession
     seeds = materialize(rows.mapInArrow(lean(_seed(window)), SEEDS), "seeds")
     local = materialize(seeds.filter("dup").select("key", "finger", "s0", "cnt"), "repeats")
-    live = seeds.filter("NOT dup").drop("dup")
-    shared = live.groupBy("a").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("a")
-    live = materialize(live.join(shared, "a"), "shared-seeds")
+    live, row = seeds.filter("NOT dup").drop("dup"), F.xxhash64("key", "finger")
+    shared = live.groupBy("a").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("low < high").select("a", "n")
+    shared = materialize(shared, "shared-anchors")
+    live = materialize(spread_join(live, shared, ["a"], "n", row), "shared-seeds")
     release(spark, seeds)
     whole = live.groupBy("a", "f").agg(F.min("key").alias("least"))
-    several = whole.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("a")
-    judged = materialize(live.join(whole, ["a", "f"]), "extensions")
+    several = whole.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    judged = materialize(live.join(whole, ["a", "f"]), "extensions")  # a row of each (a, f) per batch at most
     several = materialize(several, "several")
     release(spark, live)
     full = judged.filter("least < key").select("key", "finger", "s0", "cnt")
-    firsts = judged.filter("least = key").join(several, "a")
-    wanted = firsts.groupBy("key", "finger").agg(F.collect_list(F.struct("s0", "cnt", "a")).alias("wanted"))
+    firsts = spread_join(judged.filter("least = key"), several, ["a"], "kinds", row)
+    wanted = firsts.groupBy("key", "finger").agg(F.collect_set(F.struct("s0", "cnt", "a")).alias("wanted"))
     wins = wanted.join(rows, ["key", "finger"]).select("key", "finger", "text", "wanted")
-    wins = materialize(wins.mapInArrow(lean(_windows(window)), "a long, w long, key long, finger int, s array<int>"), "windows")
-    again = wins.groupBy("a", "w").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("a", "w", "least")
-    part = wins.join(again, ["a", "w"]).filter("least < key").select("key", "finger", F.col("s").alias("s0"), F.lit(1).alias("cnt"))
+    wins = materialize(wins.mapInArrow(lean(_windows(window)), "a long, w long, key long, finger long, s array<int>"), "windows")
+    again = wins.groupBy("a", "w").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).filter("least < most")
+    again = materialize(again.select("a", "w", "least", "n"), "repeated-windows")
+    part = spread_join(wins, again, ["a", "w"], "n", row).filter("least < key").select("key", "finger", F.col("s").alias("s0"), F.lit(1).alias("cnt"))
     found = local.unionByName(full).unionByName(part).select("key", "finger", F.explode("s0").alias("from"), "cnt")
     return found.select("key", "finger", "from", (F.col("from") + F.col("cnt") + window - 1).alias("to"))
 
@@ -187,8 +189,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     """Columns of df (or payload) with n_words, n_removed, spans (word ranges that go) and kept_text.
 
     A word goes if a window of window words that covers it also starts in a row with a smaller key; windows
-    are judged on the input. A null text has no words. A null key counts as larger than any other, and rows of
-    equal keys never remove each other's words. Texts shorter than a window stay whole. Columns of df named
+    are judged on the input. A null text has no words. A null key counts as the largest long, and rows of equal
+    keys never remove each other's words: they are told apart by a 64-bit hash of the text, and repeated rows
+    get equal results. Texts shorter than a window stay whole, long ones are read whole. Columns of df named
     like an output column are replaced. An empty table gives no rows.
     """
     small_batches(df.sparkSession)
@@ -196,10 +199,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     payload = df.columns if payload is None else payload
     names = [f"c{k}" for k in range(len(payload))]
     order = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST))
-    finger = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(1 << 20)).cast("int")  # tells rows of one key apart
+    finger = F.xxhash64(F.col(f"`{text}`"))  # tells rows of one key apart
     wide = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(payload, names, strict=True)), order.alias("key"), F.col(f"`{text}`").alias("text"), finger.alias("finger"))
     found = repeated_windows(wide.select("key", "text", "finger"), window)
-    spans = found.groupBy("key", "finger").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    spans = found.groupBy("key", "finger").agg(F.collect_set(F.struct("from", "to")).alias("found"))
     joined = wide.join(spans, ["key", "finger"], "left").select(*names, "text", "found")
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, payload, strict=True))
     out = joined.mapInArrow(lean(_strip(len(names))), f"{schema}, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_text string")
