@@ -9,7 +9,9 @@ full shingle sets, and connected components over the confirmed links give the gr
 A link at a similarity of 0.85 shares no key with probability (1 - 0.85**6)**32 = 3e-7,
 one at 0.80 with (1 - 0.80**6)**32 = 6e-5.
 A small family is one block of a task. A large one is cut into bands of set size (a link never skips a band)
-and salted blocks, and each pair of blocks that can hold links is a unit of work of bounded size.
+and salted blocks. In a first round each block is compared with itself and a few pivots, which gathers most copies
+of one text into groups; in a second round only pairs of blocks that may link two groups are compared. Every
+comparison is a unit of work of bounded size, and documents are shipped to it as sets of hashes, made once.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.llm._graph import connected_components
-from lanternfish.llm._shared import lean, materialize, partitions_for, small_batches
+from lanternfish.llm._shared import lean, materialize, partitions_for, small_batches, spread_join
 from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
 from lanternfish.sources import tables
 
@@ -32,6 +34,8 @@ SHINGLE = 5
 PERMUTATIONS, BANDS = 96, 32
 #: Classes and shingles that one block may hold.
 BLOCK_CLASSES, BLOCK_SHINGLES = 384, 1 << 20
+#: Members of a large family's band that all its blocks meet in the first round.
+PIVOTS = 4
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -120,18 +124,24 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = new
 
 
+def _shingle(batches):
+    """(node, sets) of texts; a row whose text is not that of the node's class is left out."""
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+        own = [k for k, s in enumerate(sets) if len(s) and node_of(s) == nodes[k]]
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["node", "shingles"])
+
+
 def _confirm(percent: int):
     def confirm(batches):
         held = None
 
         def links(table):
-            tasks = table.column("task").to_pylist()
-            sets = shingle_sets([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()])
-            nodes = table.column("node").to_pylist()
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
             groups: dict = {}
-            for i, t in enumerate(tasks):
-                if len(sets[i]) and node_of(sets[i]) == nodes[i]:  # else another text of the same key
-                    groups.setdefault(t, {}).setdefault(nodes[i], i)
+            for i, (t, node) in enumerate(zip(table.column("task").to_pylist(), table.column("node").to_pylist(), strict=True)):
+                groups.setdefault(t, {}).setdefault(node, i)
             u, v = [], []
             for group in groups.values():
                 if len(group) > 1:
@@ -158,73 +168,132 @@ def _confirm(percent: int):
     return confirm
 
 
-def _tasks(members: DataFrame, percent: int) -> tuple[DataFrame, bool]:
-    """Members (node, n, rep, family) with the task of each block they take part in; whether any family is large."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("f_n"), F.sum("n").alias("f_s"))
-    fits = (F.col("f_n") <= BLOCK_CLASSES) & (F.col("f_s") <= BLOCK_SHINGLES)
-    large = sizes.filter(~fits).select("family")
-    small = members.join(sizes.filter(fits).select("family"), "family").withColumn("task", F.xxhash64("family"))
-    if not large.limit(1).count():
-        return small, False
-    split = members.join(large, "family").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) * (1 - 1e-12)).cast("int"))
-    cells = split.groupBy("family", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts"))
-    over = Window.partitionBy("family").orderBy("band")
-    near = lambda f, by: F.when(f("band").over(over) == F.col("band") + by, f("salts").over(over)).otherwise(0)
-    cells = cells.withColumns({"below": near(F.lag, -1), "above": near(F.lead, 1)})
-    split = split.join(cells, ["family", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    part = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array())
-    unit = lambda b, i, c, j: F.xxhash64("family", b, i, c, j)
-    band, salt = F.col("band"), F.col("salt")
-    units = F.concat(
-        part("salts", lambda j: unit(band, F.least(salt, j), band, F.greatest(salt, j))),
-        part("above", lambda j: unit(band, salt, band + 1, j)),
-        part("below", lambda j: unit(band - 1, j, band, salt)),
-    )
-    return small.unionByName(split.select(*members.columns, F.explode(units).alias("task"))), True
+def _salted(members: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(members with salt; cells with salts and c_n): a cell's members in blocks of bounded size."""
+    cells = members.groupBy(*cell).agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts"), F.count("*").alias("c_n"))
+    cells = materialize(cells, "cells")
+    by = F.xxhash64("node")
+    dealt = spread_join(members, cells, cell, "c_n", by)
+    return dealt.withColumn("salt", F.pmod(by, F.col("salts")).cast("int")), cells
+
+
+def _first_units(members: DataFrame) -> DataFrame:
+    """(node, task) of the first round over large families: each block with itself and with the cell's pivots.
+
+    A cell is a family's band of set sizes. Its pivots, a few members chosen by hash, are in each of its blocks.
+    """
+    dealt, cells = _salted(members, ["family", "band"])
+    over = Window.partitionBy("family", "band").orderBy(F.xxhash64(F.lit(1), "node"), "node")
+    pivots = members.withColumn("nth", F.row_number().over(over)).filter(F.col("nth") <= PIVOTS)  # each task keeps PIVOTS of a cell
+    pivots = pivots.join(cells, ["family", "band"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    task = F.xxhash64(F.lit(1), "family", "band", "salt").alias("task")
+    return dealt.select("node", task).unionByName(pivots.select("node", task)).distinct()
+
+
+def _second_units(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, task) of what the first round left open: pairs of blocks that may link members of two groups.
+
+    groups: (node, component) by the links of the first round. A group that fills a good part of a block is a
+    cell of its own, and is neither compared with itself nor with its part in another band; all other members
+    of a family's band are one cell, which is also compared with itself.
+    """
+    named = members.join(groups, "node", "left")
+    big = named.filter("component IS NOT NULL").groupBy("family", "band", "component").agg(F.count("*").alias("g_n")).filter(F.col("g_n") >= BLOCK_CLASSES // 4)
+    big = materialize(big, "groups")
+    named = materialize(named, "named")
+    alone = named.join(big.drop("g_n"), ["family", "band", "component"], "left_anti").withColumn("component", F.lit(None).cast("long"))
+    in_big = spread_join(named.filter("component IS NOT NULL"), big, ["family", "band", "component"], "g_n", F.xxhash64("node"))
+    cell = F.xxhash64("family", "band", "component")
+    rows = alone.unionByName(in_big).withColumn("cell", cell)
+    dealt, _ = _salted(rows.select("node", "n", "cell"), ["cell"])
+    kinds = materialize(rows.groupBy("cell", "family", "band", "component").agg(F.count("*").alias("c_n"), F.sum("n").alias("c_s")), "cells")
+    kinds = kinds.withColumn("salts", F.ceil(F.greatest(F.col("c_n") / BLOCK_CLASSES, F.col("c_s") / BLOCK_SHINGLES)).cast("int"))
+    a, b = (kinds.select("family", *(F.col(c).alias(f"{x}_{c}") for c in ("cell", "band", "component", "salts", "c_n"))) for x in "ab")
+    pairs = a.join(b, "family").filter((F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (F.col("a_cell") <= F.col("b_cell")))
+    pairs = pairs.filter(F.col("a_component").isNull() | F.col("b_component").isNull() | (F.col("a_component") != F.col("b_component")))
+    pairs = pairs.filter((F.col("a_cell") != F.col("b_cell")) | F.col("a_component").isNull())
+    ahead = pairs.select(F.col("a_cell").alias("cell"), F.col("a_c_n").alias("c_n"), F.struct(F.col("b_cell").alias("other"), F.col("b_salts").alias("others")).alias("to"))
+    back = pairs.filter("a_cell <> b_cell").select(F.col("b_cell").alias("cell"), F.col("b_c_n").alias("c_n"), F.struct(F.col("a_cell").alias("other"), F.col("a_salts").alias("others")).alias("to"))
+    asked = ahead.unionByName(back).groupBy("cell").agg(F.max("c_n").alias("c_n"), F.collect_list("to").alias("to"))
+    met = spread_join(dealt, materialize(asked, "block-pairs"), ["cell"], "c_n", F.xxhash64("node"))
+    own, salt = F.col("cell"), F.col("salt")
+
+    def units(to):
+        def unit(j):
+            first = (own < to["other"]) | (own == to["other"]) & (salt <= j)
+            mine, other = F.struct(own.alias("c"), salt.alias("s")), F.struct(to["other"].alias("c"), j.alias("s"))
+            return F.xxhash64(F.lit(2), F.when(first, mine).otherwise(other), F.when(first, other).otherwise(mine))
+
+        return F.transform(F.sequence(F.lit(0), to["others"] - 1), unit)
+
+    return met.select("node", F.explode(F.flatten(F.transform("to", units))).alias("task"))
 
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
-    """key, n_shingles, component_id, kept and finger (xxhash64 of the text) for every row of df.
+    """key, n_shingles, component_id, kept, finger (xxhash64 of the text) and group for every row of df.
 
     component_id is the smallest key that the row reaches over links of at least percent Jaccard similarity of
     the sets of distinct 5-word shingles (A-Z lower-cased; fewer words: the whole sequence as one shingle).
     Rows without words, or with a null text, link with nothing: they keep their own key. kept is null-safe
     key = component_id; a null key is no component_id unless all keys of a group are null. Repeated rows fall
-    into one group. An empty table gives no rows.
+    into one group. group names a row's group whatever its keys; it is null for rows without words. Texts are
+    read whole. Other columns of df play no part, whatever their names. An empty table gives no rows.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     prepared = docs.withColumn("finger", F.xxhash64("text"))
     signed = materialize(prepared.mapInArrow(lean(_sign), "key long, finger long, n long, node long, bands array<long>"), "minhash")
-    classes = signed.filter("n > 0").groupBy("node", "n").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "finger"))
+    classes = signed.filter("n > 0").groupBy("node", "n").agg(F.min("key").alias("rep"), one.alias("one"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     classes = materialize(classes, "classes")
     keys = classes.select("node", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v <> last").select("band", "v")
-    stars = keys.join(shared, "band").filter("node <> v").select(F.col("node").alias("u"), "v")
+    shared = keys.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("last"), F.count("*").alias("b_n")).filter("v <> last").select("band", "v", "b_n")
+    stars = spread_join(keys, materialize(shared, "shared-bands"), ["band"], "b_n", F.xxhash64("node")).filter("node <> v").select(F.col("node").alias("u"), "v")
     families = connected_components(stars)
-    members = classes.select("node", "n", "rep").join(families.select("node", F.col("component").alias("family")), "node")
-    members = materialize(members.select("node", "n", "rep", "family"), "families")
-    tasks, split = _tasks(members, percent)
-    # Merge join at every size: members grow with the input.
-    work = tasks.select("node", "task", "rep").join(docs.hint("merge"), tasks["rep"].eqNullSafe(docs["key"])).select("task", "node", "text")
+    members = classes.select("node", "n", "one").join(families.select("node", F.col("component").alias("family")), "node")
+    members = materialize(members.select("node", "n", F.col("one.key").alias("r_key"), F.col("one.finger").alias("r_finger"), "family"), "families")
+    # Merge join at every size: members grow with the input. Rows that repeat a key and a text come together again by node.
+    met = (F.col("r_finger") == F.col("finger")) & F.col("r_key").eqNullSafe(F.col("key"))
+    texts = members.select("node", "r_key", "r_finger").join(prepared.hint("merge"), met).select("node", "text")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialize(texts.mapInArrow(lean(_shingle), "node long, shingles binary"), "shingles")
     shingles = members.agg(F.sum("n")).first()[0] or 0
-    parts = partitions_for(df.sparkSession, 16 * shingles, 16 << 20)  # a shingle weighs its hash and its text
-    links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(lean(_confirm(percent)), "u long, v long")
-    links = materialize(links.distinct(), "links")
-    if split:
-        groups = connected_components(links)
-    else:  # each family was one block: its links already are stars around the group's first node
+    parts = partitions_for(spark, 8 * shingles, 16 << 20)
+
+    def confirmed(units: DataFrame) -> DataFrame:
+        work = units.join(sets.hint("merge"), "node").select("task", "node", "shingles")
+        links = work.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(lean(_confirm(percent)), "u long, v long")
+        return materialize(links.distinct(), "links")
+
+    sizes = members.groupBy("family").agg(F.count("*").alias("f_n"), F.sum("n").alias("f_s"))
+    sizes = materialize(sizes.withColumn("fits", (F.col("f_n") <= BLOCK_CLASSES) & (F.col("f_s") <= BLOCK_SHINGLES)), "sizes")
+    dealt = spread_join(members.select("node", "n", "family"), sizes.drop("f_s"), ["family"], "f_n", F.xxhash64("node"))
+    small = dealt.filter("fits").select("node", F.xxhash64("family").alias("task"))
+    if sizes.filter("NOT fits").isEmpty():  # each family is one block: its links already are stars around the group's first node
+        links = confirmed(small)
         groups = links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    known = classes.select("node", "n", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(least, "component").select("node", "n", "component_id")
-    out = signed.select("key", "finger", "n", "node").join(known, ["node", "n"], "left")
+    else:
+        # A link never skips a band of set sizes.
+        band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) * (1 - 1e-12)).cast("int")
+        large = materialize(dealt.filter("NOT fits").select("node", "n", "family", band.alias("band")), "large-families")
+        links = confirmed(small.unionByName(_first_units(large)))
+        rest = confirmed(_second_units(large, connected_components(links)))
+        groups = connected_components(links.unionByName(rest))
+    groups = materialize(groups, "grouped")
+    least = classes.select("node", "rep").join(groups, "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("c_n"))
+    grouped = spread_join(groups, materialize(least, "least"), ["component"], "c_n", F.xxhash64("node"))
+    known = classes.select("node", "n", "rep", "rows").join(grouped.withColumn("met", F.lit(True)), "node", "left")
+    known = known.select("node", "n", "rows", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("component", "node").alias("group"))
+    narrow = signed.select("key", "finger", "n", "node")
+    out = spread_join(narrow.filter("n > 0"), materialize(known, "known"), ["node", "n"], "rows", F.monotonically_increasing_id())
+    out = out.unionByName(narrow.filter("n = 0"), allowMissingColumns=True)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "finger")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "finger", "group")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")).drop("finger")
+    return near_dedup(tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")).drop("finger", "group")
 
 
 SQL = r"""
