@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm import html_render
 from lanternfish.llm._graph import connected_components
-from lanternfish.llm._shared import lean, materialize, small_batches
+from lanternfish.llm._shared import lean, materialize, small_batches, spread_join
 from lanternfish.sources import tables
 
 #: (host, path, verdict) of the query's rules.
@@ -33,8 +33,9 @@ RULES = (
 MOST_RULES = 1_000_000
 DEFAULT = "allow"
 _PARTS = re.compile(r".*?://([^/?#]*)([^?#]*)(\??[^#]*)", re.S)
-_TAGS = re.compile(r"<(?:link|meta)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
 _REFRESH = re.compile(r"\s*[\d.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"']+)", re.I)
+#: Elements whose content is no part of the page.
+_INERT = frozenset(("template", "noscript"))
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -74,19 +75,30 @@ def node_of(url: str | None) -> int | None:
 
 
 def targets(url: str, html: str | None) -> list[str]:
-    """Urls that a page names as its canonical form or refreshes to."""
+    """Urls that a page names as its canonical form or refreshes to, by elements of its tree: what stands in comments,
+    scripts or templates names nothing. Relative ones count from the page's base."""
     if not html:
         return []
     low = html.lower()
     if "canonical" not in low and "refresh" not in low:
         return []
-    out = []
-    for m in _TAGS.finditer(html):
-        a = html_render._attributes(m[1])
-        if "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+    out, base, todo = [], None, [html_render.parse(html)]
+    while todo:
+        node = todo.pop()
+        a = node.attrs
+        if node.tag == "base" and base is None and a.get("href"):
+            base = a["href"].strip()
+        elif node.tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
             out.append(a["href"].strip())
-        elif a.get("http-equiv", "").strip().lower() == "refresh" and (r := _REFRESH.match(a.get("content", ""))):
+        elif node.tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh" and (r := _REFRESH.match(a.get("content", ""))):
             out.append(r[1].strip())
+        if node.tag not in _INERT:
+            todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    if base:
+        try:
+            url = urljoin(url, base)
+        except ValueError:  # not a url
+            pass
     full = []
     for t in out:
         try:
@@ -100,8 +112,9 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
     """key, host, path, rule, verdict, component (null for a url without aliases) for every row of pages.
 
     redirects: pairs (from_url, to_url) besides those in the pages. Null urls and urls without :// have empty
-    host and path, no rule, no aliases, and the default verdict. Repeated urls are one node. An empty table
-    gives no rows.
+    host and path, no rule, no aliases, and the default verdict. Repeated urls are one node, repeated rows each
+    give a row; of rules that fit equally well (ties) that of the longer host counts. Pages are read whole, and
+    other columns play no part, whatever their names. An empty table gives no rows.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -139,10 +152,15 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
         both = materialize(ends.select("key", F.explode(F.array("u0", "u1")).alias("url"), F.lit("").alias("html")).mapInArrow(lean(read), schema2), "redirects")
         edges = edges.unionByName(both.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v")).select("u", "v"))
         judged = judged.unionByName(both.select("node", F.col("own").alias("verdict")))
-    groups = materialize(connected_components(edges), "aliases")
-    verdicts = judged.join(groups, "node").groupBy("component").agg(F.max(F.when(F.col("verdict") == "allow", 2).when(F.col("verdict") == "block", 1).otherwise(0)).alias("rank"))
-    known = groups.join(verdicts, "component").select("node", "component", "rank")
-    out = read_pages.join(known, "node", "left")
+    rank = F.max(F.when(F.col("verdict") == "allow", 2).when(F.col("verdict") == "block", 1).otherwise(0)).alias("rank")
+    # One url, one row, however many pages name it or are it.
+    judged = materialize(judged.filter("node IS NOT NULL").groupBy("node").agg(rank, F.count("*").alias("n")), "judged")
+    tied = materialize(connected_components(edges).join(judged.select("node", "rank"), "node"), "aliases")
+    verdicts = materialize(tied.groupBy("component").agg(F.max("rank").alias("rank"), F.count("*").alias("c_n")), "verdicts")
+    known = spread_join(tied.select("node", "component"), verdicts, ["component"], "c_n", F.xxhash64("node"))
+    known = materialize(judged.select("node", "n").join(known, "node", "left"), "known")
+    met = spread_join(read_pages.filter("node IS NOT NULL"), known, ["node"], "n", F.monotonically_increasing_id())
+    out = met.unionByName(read_pages.filter("node IS NULL"), allowMissingColumns=True)
     verdict = F.coalesce("own", F.when(F.col("rank") == 2, F.lit("allow")).when(F.col("rank") == 1, F.lit("block")), F.lit(DEFAULT))
     return out.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "component")
 
@@ -157,7 +175,7 @@ _SPLIT = f"""{_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} A
 #: Links with absolute urls; relative ones need an url library.
 SQL = f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
-tags AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
+tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(?:script|style|template|noscript|textarea|title)[ >].*?</(?:script|style|template|noscript|textarea|title)>', '', 'g'), '(?is)<(?:link|meta)[^>]*>')) AS t FROM pages WHERE url IS NOT NULL),
 links AS (SELECT page_id, CASE WHEN regexp_matches(t, '(?is)rel=.?canonical') THEN regexp_extract(t, '(?is)href=.?(https?://[^" >]*)', 1)
   WHEN regexp_matches(t, '(?is)http-equiv=.?refresh') THEN regexp_extract(t, '(?is)url=.?(https?://[^" >]*)', 1) ELSE '' END AS url FROM tags),
 u AS (SELECT page_id, 0 AS far, {_SPLIT} FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)
