@@ -5,7 +5,8 @@ singleton or its texts have ended. Equality is decided on the bytes alone; no di
 
 1. The driver grows a trie of *heavy* prefixes only: at each level one aggregation counts the next digit of
    the documents below heavy nodes, and digits that hold more than half a partition's share become nodes.
-   At most 2 * partitions nodes can be heavy on a level, so the trie is bounded; its bytes are checked too.
+   At most 2 * partitions nodes can be heavy on a level. Where their bytes go beyond TRIE_BYTES, rows below the
+   nodes that find no room are put aside and solved by another pass, with a trie of its own.
    A heavy digit at which texts end is a finished group: its size and largest id are in the aggregate.
 2. Every other document lies below a light prefix, that is under half a partition's share of bytes. Light
    prefixes are dealt by one shuffle; sorted by prefix, each task streams them and goes on splitting locally.
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternfish.llm._shared import clash_free, lean, partitions_for, small_batches, text_bytes
+from lanternfish.llm._shared import clash_free, lean, materialize, partitions_for, small_batches, text_bytes
 from lanternfish.sources import tables
 
 #: Widths of the successive digits in bytes; the last repeats.
 WIDTHS = (8, 24, 96, 384, 1536, 6144, 24576, 98304)
-#: Bytes of prefixes that the trie may hold on the driver and in a broadcast.
+#: Bytes of prefixes that a pass's trie may hold on the driver and in a broadcast, besides those of one text.
 TRIE_BYTES = 64 << 20
 ROW_WEIGHT = 64
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -71,10 +72,14 @@ def radix_groups(texts: list[bytes]) -> list[list[int]]:
     return done
 
 
-def _heavy_trie(df: DataFrame, text: str, key: str, capacity: float) -> list[dict]:
+def _heavy_trie(df: DataFrame, text: str, key: str, capacity: float) -> tuple[list[dict], set[int]]:
+    """(the trie by level, nodes whose rows another pass solves).
+
+    Of the nodes that may grow, one, the lead, always finds room: each pass brings it to an end.
+    """
     sc = df.sparkSession.sparkContext
     levels: list[dict] = []
-    nodes, size = 0, 0
+    nodes, size, lead, later = 0, 0, 0, set()
     while True:
         trie, depth = sc.broadcast(levels), len(levels)
 
@@ -117,18 +122,23 @@ def _heavy_trie(df: DataFrame, text: str, key: str, capacity: float) -> list[dic
             .filter((F.col("weight") > capacity) & (F.col("n") > 1))
         )
         found = counted.collect()  # under 2 * partitions rows: each holds more than half a partition's share
-        level, grows = {}, False
-        for r in sorted(found, key=lambda r: -r["weight"]):
+        level, grows, first = {}, False, None
+        for r in sorted(found, key=lambda r: (-r["weight"], r["node"], r["digit"], r["ended"])):
+            leads = r["node"] == lead and first is None
+            if size + len(r["digit"]) > TRIE_BYTES and not leads:
+                later.add(r["node"])
+                continue
             size += len(r["digit"])
-            if size > TRIE_BYTES:
-                break
             nodes += 1
             level[r["node"], bytes(r["digit"]), r["ended"]] = (-nodes, r["max_id"], r["n"]) if r["ended"] else (nodes,)
             grows |= not r["ended"]
+            if leads:
+                first = -nodes if r["ended"] else nodes
+        lead = first
         if level:
             levels.append(level)
-        if not grows or size > TRIE_BYTES:
-            return levels
+        if not grows:
+            return levels, later
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_only: bool = False, payload: list[str] | None = None) -> DataFrame:
@@ -138,7 +148,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
     texts the row with the largest key stays (a null key is smaller than any other; if all are null, any one
     row stays and keep_id is null). Rows that repeat both key and text: exactly one stays. group_size counts
     rows. Columns of df named like an output column are replaced. keep_only: return only rows that stay.
-    payload: columns to return besides (default: all). An empty table gives no rows.
+    payload: columns to return besides (default: all). Texts are compared whole. An empty table gives no rows.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -147,25 +157,35 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
     total = df.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + ROW_WEIGHT)).first()[0] or 0
     parts = partitions_for(spark, total, 32 << 20)
     trie = spark.sparkContext.broadcast(_heavy_trie(df, text, key, total / (2 * parts)))
+    postponed = bool(trie.value[1])
     names = [f"c{k}" for k in range(len(payload))]
     fields = [T.StructField(n, df.schema[c].dataType, True) for n, c in zip(names, payload, strict=True)]
     routed_schema = T.StructType([*fields, *(T.StructField(n, k, True) for n, k in (("b_text", T.BinaryType()), ("b_key", T.LongType()), ("b_bucket", T.LongType()), ("b_node", T.LongType()), ("b_keep", T.LongType()), ("b_n", T.LongType())))])
     out_schema = T.StructType([*fields, T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("kept", T.BooleanType()), T.StructField("text_sha256", T.StringType())])
     width = len(names)
 
+    def put_aside(batches):
+        levels, later = trie.value
+        for batch in batches:
+            out = (_walk(t.lower(), levels) for t in text_bytes(batch.column(width)))
+            yield batch.filter(pa.array([hit is None and node in later for _, node, _, _, hit in out], pa.bool_()))
+
     def route(batches):
-        turn = 0
+        turn, sent, (levels, later) = 0, set(), trie.value
         for batch in batches:
             keys = batch.column(width + 1).to_pylist()
             cols: list[list] = [[], [], [], [], []]
             take = []
             for row, (t, i) in enumerate(zip(text_bytes(batch.column(width)), keys, strict=True)):
                 t = t.lower()
-                level, node, digit, _, hit = _walk(t, trie.value)
+                level, node, digit, _, hit = _walk(t, levels)
+                if hit is None and node in later:
+                    continue
                 if hit is None:
                     bucket = xxhash.xxh64_intdigest(b"%d|%d|" % (level, node) + digit) - (1 << 63)
                     cells = (t, bucket, None, None, None)
-                elif i == hit[1]:  # may be the row that stays: rows of the same group and key meet in one bucket
+                elif i == hit[1] and hit[0] not in sent:  # may be the row that stays: one of each task meet in a bucket
+                    sent.add(hit[0])
                     cells = (hashlib.sha256(t).digest(), hit[0], -hit[0], hit[1], hit[2])
                 elif keep_only:
                     continue
@@ -185,7 +205,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
         def results(table):
             n = table.num_rows
             texts, keys = table.column("b_text").to_pylist(), table.column("b_key").to_pylist()
-            node, keep, size = (table.column(c).to_pylist() for c in ("b_node", "b_keep", "b_n"))
+            node, keep, size, bucket = (table.column(c).to_pylist() for c in ("b_node", "b_keep", "b_n", "b_bucket"))
             kept, sha = [False] * n, [""] * n
             light = [i for i in range(n) if node[i] is None]
             for group in radix_groups([texts[i] for i in light]):
@@ -199,7 +219,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
             for i in range(n):
                 if node[i] is not None:
                     sha[i] = texts[i].hex()
-                    if keys[i] == keep[i] and node[i] not in seen:
+                    if bucket[i] == -node[i] and node[i] not in seen:
                         seen.add(node[i])
                         kept[i] = True
             cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[:width]]
@@ -226,6 +246,9 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", keep_onl
     source = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(payload, names, strict=True)), F.col(f"`{text}`").alias("b_text"), F.col(f"`{key}`").cast("long").alias("b_key"))
     dealt = source.mapInArrow(lean(route), routed_schema).repartition(parts, "b_bucket").sortWithinPartitions("b_bucket")
     out = dealt.mapInArrow(lean(solve), out_schema)
+    if postponed:
+        rest = materialize(source.mapInArrow(lean(put_aside), source.schema), "put-aside")
+        out = out.unionByName(exact_dedup(rest, "b_text", "b_key", keep_only, names))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, payload, strict=True)), *OUT)
 
 
