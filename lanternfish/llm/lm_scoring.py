@@ -1,15 +1,16 @@
 """LM scoring with a weighted backoff automaton.
 
-The language model is a Dirichlet-smoothed bigram model, p(w|h) = (c(hw) + MU p(w)) / (c(h) + MU) with the
-additive unigram p(w) at its root. As an automaton: a state for each word h, an arc for each seen bigram hw of
-weight log p(w|h), and one failure arc from h to the root of weight log MU / (c(h) + MU); the root has an arc for
-each word and one for all unknown words. Having read w, the automaton is in state w (unknown: the root).
-
-The automaton grows with the corpus, so no machine holds it. Documents are dealt to batches by a hash of the
-row. Each batch sends the sorted, delta-coded hashes of its distinct words and bigrams with its training counts
-to shards of the hash space; each shard sums them and answers every batch with the counts of just what it
-asked for, in its order. With these a batch has the part of the automaton that its texts can reach, and walks
-each text once from left to right.
+The language model is of order 3, Dirichlet-smoothed at each order: p(w|uv) = (c(uvw) + MU3 p(w|v)) / (c(uv) + MU3),
+p(w|v) = (c(vw) + MU2 p(w)) / (c(v) + MU2), with the additive unigram p(w) below. As an automaton: a state for each
+known context (two words, one word, or none: the root); from each an arc for each n-gram seen after it, of weight
+log p, to the state of the longest known context that it ends in; and a failure arc of weight log MU / (c + MU) to
+the state of its shorter context. The root has an arc for each word and one for all unknown words. One traversal
+from left to right carries the state and adds up the weights of the arcs and failure arcs that it takes.
+
+The automaton grows with the corpus, so no machine holds it. Documents are packed into batches, which are written
+once. Each batch sends the sorted, delta-coded hashes of its distinct n-grams with its training counts to shards of
+the hash space; each shard sums them and answers every batch with the counts of just what it asked for, in its
+order. From these a batch builds the part of the automaton that its texts can reach, and walks them.
 Frequent words cost no more than one entry a batch, so there is no hot key.
 """
 
@@ -18,21 +19,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import crc_mod, lean, materialize
 from lanternfish.llm._tokens import chunks, hash_docs, mix64
+from lanternfish.sources import tables
 
-#: Pseudo-count of the root below a state. Additive smoothing of the root.
-MU = 64.0
+#: Pseudo-counts of the shorter context below a state of one and of two words. Additive smoothing of the root.
+MU2, MU3 = 256.0, 32.0
 ALPHA = 0.1
 #: Bytes of text of a batch; bytes of all text for each shard.
-BATCH_BYTES = 12 << 20
-SHARD_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+SHARD_BYTES = 10 << 20
+#: Tokens that a text's part has in the traversal; longer texts are walked in parts, each with its true first state.
+PART = 512
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Bits of a bigram's hash that are kept (a word keeps all 64).
-PAIR_BITS = 56
+#: Bits of the hash of a run of two or three words that are kept (a word keeps all 64).
+RUN_BITS = 56
+BITS = (64, RUN_BITS, RUN_BITS)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -54,91 +60,225 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(data, n), dtype=np.uint64)
 
 
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, tokens before them, tokens by text) of lower-cased texts; each text ends with END."""
+def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, tokens by text) of lower-cased texts; each text begins with BEGIN and ends with END."""
     words, lengths = [], []
     for a, b in chunks(texts):
         h, n = hash_docs([t.lower() for t in texts[a:b]])
         words.append(h)
         lengths.append(n)
     if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    n = np.concatenate(lengths) + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    n = np.concatenate(lengths) + 2
     ends = np.cumsum(n) - 1
     token = np.empty(int(n.sum()), dtype=np.uint64)
     inner = np.ones(len(token), dtype=bool)
-    inner[ends] = False
-    token[inner], token[ends] = np.concatenate(words), END
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[ends - n + 1] = BEGIN
-    return token, before, n
+    inner[ends] = inner[ends - n + 1] = False
+    token[inner], token[ends], token[ends - n + 1] = np.concatenate(words), END, BEGIN
+    return token, n
 
 
-def pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0xC2B2AE3D27D4EB4F) + token) >> np.uint64(64 - PAIR_BITS)
+def run_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix64(before * np.uint64(0xC2B2AE3D27D4EB4F) + token) >> np.uint64(64 - RUN_BITS)
 
 
-def shard_edges(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where each shard's keys begin and end among the sorted keys."""
-    return np.searchsorted(keys, np.array([(s << bits) // shards for s in range(shards)], dtype=np.uint64)).tolist() + [len(keys)]
-
+class Grams:
+    """The distinct n-grams of some texts.
 
-def walk(token, before, lengths, known: np.ndarray, state: np.ndarray, both: np.ndarray, total: int, distinct: int, mu: float = MU):
-    """(base, score) of each text in log10: one pass from left to right, all steps at once.
+    keys[k]: sorted hashes of the runs of k + 1 tokens, at[k]: a place where each ends, of[k]: by place the index in
+    keys of the run that ends there, or -1. A BEGIN is no word: it only stands before others.
+    """
 
-    The state before a token is its predecessor, so the steps of a bigram automaton need no loop.
-    known, state, both: training counts of the token, of its predecessor, and of the bigram.
+    def __init__(self, texts: list[bytes]):
+        self.token, self.lengths = sequences(texts)
+        first = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(self.token)) - np.repeat(first, self.lengths)
+        self.keys, self.at, self.of = [], [], []
+        name = self.token
+        for k in range(3):
+            if k:
+                name = np.concatenate([name[:1], run_hash(name[:-1], self.token[1:])])
+            rows = np.flatnonzero(place >= max(1, k)).astype(np.int32)
+            keys, at, inverse = np.unique(name[rows], return_index=True, return_inverse=True)
+            of = np.full(len(self.token), -1, dtype=np.int32)
+            of[rows] = inverse
+            self.keys.append(keys)
+            self.at.append(rows[at])
+            self.of.append(of)
+
+    def counts(self, learn: np.ndarray) -> list[np.ndarray]:
+        """Occurrences of each n-gram in the texts of which learn is true."""
+        live = np.repeat(learn, self.lengths)
+        return [np.bincount(of[live & (of >= 0)], minlength=len(keys)).astype(np.uint64) for keys, of in zip(self.keys, self.of, strict=True)]
+
+
+class Automaton:
+    """The part of the weighted backoff automaton that the n-grams of some texts reach, from their training counts.
+
+    State 0 is the root, 1 that of BEGIN, then those of known words and of known pairs. arcs: sorted state << 32 |
+    word, with arc_weight and arc_to; fail, fail_weight: by state its failure arc; root_weight, root_to: by word
+    the root's arcs, which an unknown word has too.
     """
-    root = (known + ALPHA) / (total + ALPHA * (distinct + 1))
-    arc = np.log10((both + mu * root) / (state + mu))  # unseen: the failure arc's weight plus the root's arc
-    first = np.cumsum(lengths) - lengths
-    return np.add.reduceat(np.log10(root), first), np.add.reduceat(arc, first)
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, docs: int):
+        c0, c1, c2 = (c.astype(np.float64) for c in counts)
+        word, pair, at1, at2 = grams.of[0], grams.of[1], grams.at[1], grams.at[2]
+        self.root = (c0 + ALPHA) / (total + ALPHA * (distinct + 1))
+        known = (c0 > 0) & (grams.keys[0] != END)
+        of_word = np.where(known, np.cumsum(known) + 1, 0)
+        last = grams.token[at1] == END
+        live = (c1 > 0) & ~last
+        of_pair = np.where(live, np.cumsum(live) + known.sum() + 1, of_word[word[at1]])
+        seen = np.concatenate([[0.0, docs], c0[known], c1[live]])
+        mu = np.concatenate([[1.0], np.full(1 + int(known.sum()), MU2), np.full(int(live.sum()), MU3)])
+        self.fail_weight = np.log10(mu / (seen + mu))
+        self.fail = np.concatenate([np.zeros(2 + int(known.sum()), dtype=np.int64), of_word[word[at1[live]]]])
+        self.root_weight, self.root_to = np.log10(self.root), of_word
+        before = word[at1 - 1]  # -1: BEGIN
+        source = np.where(before < 0, 1, of_word[before])
+        p1 = (c1 + MU2 * self.root[word[at1]]) / (seen[source] + MU2)
+        one = c1 > 0
+        left, right = pair[at2 - 1], pair[at2]
+        p2 = (c2 + MU3 * p1[right]) / (c1[left] + MU3)
+        two = c2 > 0
+        arcs = np.concatenate([source[one] << 32 | word[at1[one]], of_pair[left[two]] << 32 | word[at2[two]]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.arc_weight = np.concatenate([np.log10(p1[one]), np.log10(p2[two])])[order]
+        self.arc_to = np.concatenate([of_pair[one], of_pair[right[two]]])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of many walkers that read a word each."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            at_root = state[todo] == 0
+            done = todo[at_root]
+            weight[done] += self.root_weight[word[done]]
+            to[done] = self.root_to[word[done]]
+            todo = todo[~at_root]
+            wanted = state[todo] << 32 | word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, wanted), max(0, len(self.arcs) - 1))
+            hit = self.arcs[at] == wanted if len(self.arcs) else np.zeros(len(todo), dtype=bool)
+            done, at = todo[hit], at[hit]
+            weight[done] += self.arc_weight[at]
+            to[done] = self.arc_to[at]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return weight, to
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """log10 probability of each text. All texts are walked side by side, one token a step.
+
+        A state is a context of at most two words, so a long text's later part starts in the state that the two
+        words before it lead to from the root, which is the state that its earlier part ends in.
+        """
+        ends = np.cumsum(grams.lengths)
+        begins = ends - grams.lengths + 1
+        parts = -(-(ends - begins) // PART)
+        text = np.repeat(np.arange(len(parts)), parts)
+        low = begins[text] + PART * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.minimum(low + PART, ends[text]) - low
+        order = np.argsort(-size, kind="stable")
+        text, low, size = text[order], low[order], size[order]
+        state = np.ones(len(low), dtype=np.int64)
+        word = grams.of[0].astype(np.int64)
+        later = np.flatnonzero(low > begins[text])
+        state[later] = 0
+        for back in (2, 1):
+            state[later] = self.step(state[later], word[low[later] - back])[1]
+        out = np.zeros(len(low))
+        for k in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -k, "left"))  # sizes fall: these have a token left
+            weight, state[:live] = self.step(state[:live].copy(), word[low[:live] + k])
+            out[:live] += weight
+        return np.bincount(text, out, len(parts))
+
+
+def _texts(blob: bytes) -> pa.Table:
+    """key, text, train of a batch."""
+    with pa.ipc.open_stream(blob) as reader:
+        return reader.read_all()
+
+
+def _bytes_of(table: pa.Table) -> list[bytes]:
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+def shard_edges(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's keys begin and end among the sorted keys."""
+    return np.searchsorted(keys, np.array([(s << bits) // shards for s in range(shards)], dtype=np.uint64)).tolist() + [len(keys)]
 
 
 def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score of every row of df.
 
     train: a boolean column over df; rows where it is true are learned from. A null text counts as empty: one
-    end token. Repeated rows and keys count each on its own. An empty table gives no rows; where no row is
-    learned from, every token is unknown.
+    end token. Repeated rows and keys count each on its own, so there are no ties to break. Texts are read whole,
+    however long. Other columns of df play no part, whatever their names. An empty table gives no rows; where no
+    row is learned from, every token is unknown.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 20)  # use all tasks, if they get a MB each
-    batches, shards = max(1, spread, -(-size // BATCH_BYTES)), max(1, -(-size // SHARD_BYTES))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)).cast("int"))
 
-    def distinct_keys(texts):
-        token, before, lengths = sequences(texts)
-        return token, before, lengths, (np.unique(token, return_inverse=True), np.unique(pair(before, token), return_inverse=True))
+    def pack_texts(batches):
+        """Runs of rows with about BATCH_BYTES of text as one compressed cell."""
+        part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def cell():
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held)
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            learned = sum(held_.column(2).true_count for held_ in held)
+            sizes = (part << 32 | nth, sink.getvalue().to_pybytes(), learned, size)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(sizes, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["batch", "blob", "docs", "size"])
+
+        for batch in batches:
+            low = 0
+            lengths = np.array([len(t) if t else 0 for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.int64) + 16
+            while low < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[low:]), BATCH_BYTES - size, "right")))
+                held.append(batch.slice(low, n))
+                size += int(lengths[low : low + n].sum())
+                low += n
+                if size >= BATCH_BYTES or low < batch.num_rows:
+                    yield cell()
+                    nth, held, size = nth + 1, [], 0
+        if held:
+            yield cell()
+
+    packed = materialize(rows.mapInArrow(lean(pack_texts), "batch long, blob binary, docs long, size long"), "lm-texts")
+    told = packed.agg(F.sum("docs"), F.sum("size")).first()
+    docs, size = told[0] or 0, told[1] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    packed = packed.select("batch", "blob")
 
     def ask(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
-        texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-        learn = np.array(table.column("train").to_pylist(), dtype=bool)
-        _, _, lengths, kinds = distinct_keys(texts)
-        of = np.repeat(learn, lengths)
+        own = _texts(table.column("blob")[0].as_py())
+        grams = Grams(_bytes_of(own))
         out = []
-        for k, (keys, inverse) in enumerate(kinds):
-            count = np.bincount(inverse[of], minlength=len(keys)).astype(np.uint64)
-            edges = shard_edges(keys, 64 if k == 0 else PAIR_BITS, shards)
+        for k, (keys, count) in enumerate(zip(grams.keys, grams.counts(np.array(own.column("train").to_pylist(), dtype=bool)), strict=True)):
+            edges = shard_edges(keys, BITS[k], shards)
             out += [(batch, s, k, b - a, pack_sorted(keys[a:b]), pack(count[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-        kinds_ = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names=["batch", "shard", "kind", "n", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         out = []
         shard = table.column("shard")[0].as_py()
-        for k in (0, 1):
-            own = [r for r in table.to_pylist() if r["kind"] == k]
+        kinds = np.array(table.column("kind").to_pylist())
+        for k in range(3):
+            own = table.take(np.flatnonzero(kinds == k)).to_pylist()
             if not own:
                 continue
             keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in own])
             count = np.concatenate([unpack(r["counts"], r["n"]) for r in own])
             _, inverse = np.unique(keys, return_inverse=True)
+            del keys
             total = np.bincount(inverse, count).astype(np.uint64)
             low = 0
             for r in own:
@@ -146,37 +286,35 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
                 low += r["n"]
             if k == 0:
                 out.append((-1, shard, k, 0, b"", int(total.sum()), int((total > 0).sum())))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "shard", "kind", "n", "counts", "tokens", "words"])
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["batch", "shard", "kind", "n", "counts", "tokens", "words"])
 
-    asked = rows.groupBy("batch").applyInArrow(lean(ask), "batch int, shard int, kind int, n int, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(lean(answer), "batch int, shard int, kind int, n int, counts binary, tokens long, words long")
+    asked = packed.groupBy("batch").applyInArrow(lean(ask), "batch long, shard int, kind int, n int, keys binary, counts binary")
+    answers = asked.groupBy("shard").applyInArrow(lean(answer), "batch long, shard int, kind int, n int, counts binary, tokens long, words long")
     answers = materialize(answers, "lm-counts")
     sums = answers.filter("batch = -1").agg(F.sum("tokens"), F.sum("words")).first()
-    docs = rows.filter("train").count()
     total, words = sums[0] or 0, sums[1] or 0
+    names = ["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def traverse(own: pa.Table, counts: pa.Table) -> pa.Table:
-        texts = [t or b"" for t in own.column("text").cast(pa.binary()).to_pylist()]
-        if not texts:
-            return pa.Table.from_arrays([pa.array([], own.column("key").type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        token, before, lengths, kinds = distinct_keys(texts)
+    def traverse(packed_: pa.Table, counts: pa.Table) -> pa.Table:
+        own = _texts(packed_.column("blob")[0].as_py())
+        grams = Grams(_bytes_of(own))
         found = sorted(counts.select(["kind", "shard", "n", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        seen = [np.concatenate([unpack(r["counts"], r["n"]) for r in found if r["kind"] == k]).astype(np.float64) for k in (0, 1)]
-        known, both = (s[inverse] for s, (_, inverse) in zip(seen, kinds, strict=True))
-        state = np.empty_like(known)
-        state[1:] = known[:-1]
-        first = np.cumsum(lengths) - lengths
-        state[first] = docs
-        base, value = walk(token, before, lengths, known, state, both, total, words)
-        n_known = np.add.reduceat((known > 0).astype(np.int64), first)
-        return pa.Table.from_arrays([own.column("key").combine_chunks(), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(texts), total), pa.int64()), pa.array(base), pa.array(value)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = rows.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(lean(traverse), f"key {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        seen = [np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], r["n"]) for r in found if r["kind"] == k)]) for k in range(3)]
+        del found
+        machine = Automaton(grams, seen, total, words, docs)
+        value = machine.walk(grams)
+        word, inner = grams.of[0], grams.of[0] >= 0
+        text = np.repeat(np.arange(len(grams.lengths)), grams.lengths)[inner]
+        base = np.bincount(text, machine.root_weight[word[inner]], own.num_rows)
+        n_known = np.bincount(text, seen[0][word[inner]] > 0, own.num_rows).astype(np.int64)
+        return pa.Table.from_arrays([own.column("key").combine_chunks(), pa.array(grams.lengths - 1, pa.int64()), pa.array(n_known), pa.array(np.full(own.num_rows, total), pa.int64()), pa.array(base), pa.array(value)], names=names)
+
+    out = packed.groupBy("batch").cogroup(answers.filter("batch >= 0").groupBy("batch")).applyInArrow(lean(traverse), f"key {kind.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = tables.read(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     out = score(docs, crc_mod(F.col("doc_id"), 10) != 0)
     return out.withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
