@@ -66,7 +66,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
 
     path: a byte-level BPE file of the tokenizers library; each executor must have it there. A null text
     counts as empty (0 bytes, 0 tokens); special strings in a text count as one token each, as the library
-    does by default. Rows with equal or null keys are counted each on its own. An empty table gives no rows.
+    does by default. Rows with equal or null keys are counted each on its own, so there are no ties. Texts and
+    pre-tokens of any length are encoded whole. Other columns of df play no part, whatever their names. An empty
+    table gives no rows.
     """
     spark = df.sparkSession
     small_batches(spark)
