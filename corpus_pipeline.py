@@ -2,6 +2,10 @@
 
 language ID -> exact dedup -> MinHash near-dedup -> benchmark decontamination -> mixing sources.
 All but the last stage return the columns of documents; the last returns what the mix takes of each document.
+
+Every stage: null texts count as empty where its operator says so; repeated rows, ties and texts of any length are
+taken as the operator takes them; an empty table gives an empty one. Extra columns of documents go through as they
+are, whatever their names, since operators see the columns they read under names of the stage's own.
 """
 
 from __future__ import annotations
@@ -12,46 +16,71 @@ from pyspark.sql import functions as F
 from lanternfish.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
 from lanternfish.llm._shared import materialize
 
-
 #: Similarity in percent from which the near-dedup stage links two documents; op8's own contract is 85.
 NEAR_PERCENT = 80
 
 
-def _keep(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Rows of docs that found (doc_id, finger) has (left_semi) or lacks (left_anti)."""
-    marked = docs.withColumn("p_finger", F.xxhash64("text"))
-    found = found.select(F.col("doc_id").alias("p_id"), F.col("finger").alias("p_found"))
-    joined = marked.join(found, marked["doc_id"].eqNullSafe(found["p_id"]) & (marked["p_finger"] == found["p_found"]), how)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+def _masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns p0, p1, ... and the name of each column there."""
+    names = {c: f"p{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Masked docs with mark, a hash of doc_id and text: rows that differ in neither are one document."""
+    rows, names = _masked(docs)
+    return rows.withColumn("mark", F.xxhash64(F.col(names["doc_id"]).cast("long"), F.xxhash64(names["text"]))), names
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models recognise; what they reject goes. Learns from the stage's own input."""
-    model = language_id.train(language_id.training_rows(docs))
-    out = language_id.identify(docs, model).filter(~F.col("rejected"))
-    return out.select(*docs.columns)
+    """Documents whose language the models recognise; what they reject goes. Learns from the stage's own input.
+
+    Null texts and texts without a letter go. Where no row has a language to learn from, all documents go.
+    """
+    model = language_id.train(language_id.training_rows(docs.select("doc_id", "lang", "text")))
+    rows, names = _masked(docs)
+    return _named(language_id.identify(rows, model, names["text"]).filter(~F.col("rejected")), names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that of the largest doc_id."""
-    return exact_dedup.exact_dedup(docs, keep_only=True, payload=docs.columns).select(*docs.columns)
+    """One document of each group of equal texts, that of the largest doc_id; of repeated rows any one.
+
+    Null and empty texts are one group.
+    """
+    rows, names = _masked(docs)
+    return _named(exact_dedup.exact_dedup(rows, names["text"], names["doc_id"], keep_only=True), names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    groups = near_dedup.near_dedup(docs, percent=NEAR_PERCENT)
-    return _keep(docs, groups.filter("kept").select("doc_id", "finger").distinct(), "left_semi")
+    """One document of each group of near copies, that of the smallest doc_id; of repeated rows any one.
+
+    Documents without words, null texts among them, are in no group and stay, each one.
+    """
+    rows, names = _marked(docs)
+    groups = near_dedup.near_dedup(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
+    mark = F.xxhash64(F.col("doc_id").cast("long"), "finger").alias("mark")
+    first = groups.filter("kept AND group IS NOT NULL").select("group", mark).groupBy("group").agg(F.min("mark").alias("mark"))
+    empty = ~F.coalesce(F.col(names["text"]), F.lit("")).rlike(mixing.WORD)
+    some = rows.filter(~empty).join(first.select("mark").hint("merge"), "mark", "left_semi").dropDuplicates(["mark"])
+    return _named(some.unionByName(rows.filter(empty)), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null texts have none."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _keep(docs, decontamination.contaminated(docs, bench).select("doc_id", "finger").distinct(), "left_anti")
+    found = decontamination.contaminated(docs.select("doc_id", "text"), bench)
+    leaked = found.select(F.xxhash64(F.col("doc_id").cast("long"), "finger").alias("mark")).distinct()
+    rows, names = _marked(docs)
+    return _named(rows.join(leaked.hint("merge"), "mark", "left_anti"), names)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each document that the mix takes words of."""
-    return mixing.Mix(docs).counts().filter("taken > 0")
+    return mixing.Mix(docs.select("doc_id", "text", "source")).counts().filter("taken > 0")
 
 
 STAGES = [
