@@ -16,6 +16,8 @@ Frequent words cost no more than one entry a batch, so there is no hot key.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,9 +38,9 @@ SHARD_BYTES = 10 << 20
 #: Tokens that a text's part has in the traversal; longer texts are walked in parts, each with its true first state.
 PART = 512
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Bits of the hash of a run of two or three words that are kept (a word keeps all 64).
-RUN_BITS = 56
-BITS = (64, RUN_BITS, RUN_BITS)
+#: Bits of the hash of a run of two or three words (a word keeps all 64): so many more than the logarithm of the
+#: bytes of text that an unseen run meets another's hash with probability 2**-MISS_BITS at most, at any size.
+LEAST_BITS, MISS_BITS = 44, 12
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -78,39 +80,59 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return token, n
 
 
+def run_bits(size: int) -> int:
+    return min(64, max(LEAST_BITS, math.ceil(math.log2(max(2, size))) + MISS_BITS))
+
+
 def run_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0xC2B2AE3D27D4EB4F) + token) >> np.uint64(64 - RUN_BITS)
+    return mix64(before * np.uint64(0xC2B2AE3D27D4EB4F) + token)
+
+
+def runs(texts: list[bytes], bits: int):
+    """(tokens, tokens by text; for each order 1 to 3 the places where a run ends, and the runs' hashes).
+
+    A BEGIN is no word: it only stands before others.
+    """
+    token, lengths = sequences(texts)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    name, out = token, []
+    for k in range(3):
+        if k:
+            name = np.concatenate([name[:1], run_hash(name[:-1], token[1:])])
+        rows = np.flatnonzero(place >= max(1, k)).astype(np.int32)
+        out.append((rows, name[rows] >> np.uint64(64 - bits) if k else name[rows]))
+    return token, lengths, out
+
+
+def count_runs(texts: list[bytes], learn: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the sorted hashes of all runs of the texts, and their numbers in those of which learn is true."""
+    _, lengths, found = runs(texts, bits)
+    live = np.repeat(learn, lengths)
+    out = []
+    for rows, names in found:
+        keys, own = np.unique(names), np.sort(names[live[rows]])
+        out.append((keys, np.searchsorted(own, keys, "right").astype(np.uint64) - np.searchsorted(own, keys, "left").astype(np.uint64)))
+    return out
 
 
 class Grams:
     """The distinct n-grams of some texts.
 
     keys[k]: sorted hashes of the runs of k + 1 tokens, at[k]: a place where each ends, of[k]: by place the index in
-    keys of the run that ends there, or -1. A BEGIN is no word: it only stands before others.
+    keys of the run that ends there, or -1.
     """
 
-    def __init__(self, texts: list[bytes]):
-        self.token, self.lengths = sequences(texts)
-        first = np.cumsum(self.lengths) - self.lengths
-        place = np.arange(len(self.token)) - np.repeat(first, self.lengths)
+    def __init__(self, texts: list[bytes], bits: int = 64):
+        self.token, self.lengths, found = runs(texts, bits)
         self.keys, self.at, self.of = [], [], []
-        name = self.token
-        for k in range(3):
-            if k:
-                name = np.concatenate([name[:1], run_hash(name[:-1], self.token[1:])])
-            rows = np.flatnonzero(place >= max(1, k)).astype(np.int32)
-            keys, at, inverse = np.unique(name[rows], return_index=True, return_inverse=True)
+        for rows, names in found:
+            keys, at, inverse = np.unique(names, return_index=True, return_inverse=True)
             of = np.full(len(self.token), -1, dtype=np.int32)
             of[rows] = inverse
             self.keys.append(keys)
             self.at.append(rows[at])
             self.of.append(of)
 
-    def counts(self, learn: np.ndarray) -> list[np.ndarray]:
-        """Occurrences of each n-gram in the texts of which learn is true."""
-        live = np.repeat(learn, self.lengths)
-        return [np.bincount(of[live & (of >= 0)], minlength=len(keys)).astype(np.uint64) for keys, of in zip(self.keys, self.of, strict=True)]
-
 
 class Automaton:
     """The part of the weighted backoff automaton that the n-grams of some texts reach, from their training counts.
@@ -253,19 +275,20 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
     packed = materialize(rows.mapInArrow(lean(pack_texts), "batch long, blob binary, docs long, size long"), "lm-texts")
     told = packed.agg(F.sum("docs"), F.sum("size")).first()
     docs, size = told[0] or 0, told[1] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    shards, bits = max(1, -(-size // SHARD_BYTES)), run_bits(size)
     packed = packed.select("batch", "blob")
 
-    def ask(table: pa.Table) -> pa.Table:
-        batch = table.column("batch")[0].as_py()
-        own = _texts(table.column("blob")[0].as_py())
-        grams = Grams(_bytes_of(own))
-        out = []
-        for k, (keys, count) in enumerate(zip(grams.keys, grams.counts(np.array(own.column("train").to_pylist(), dtype=bool)), strict=True)):
-            edges = shard_edges(keys, BITS[k], shards)
-            out += [(batch, s, k, b - a, pack_sorted(keys[a:b]), pack(count[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+    def ask(batches):
         kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names=["batch", "shard", "kind", "n", "keys", "counts"])
+        for cells in batches:
+            for batch, blob in zip(*(c.to_pylist() for c in cells.columns), strict=True):
+                own = _texts(blob)
+                learn = np.array(own.column("train").to_pylist(), dtype=bool)
+                out = []
+                for k, (keys, count) in enumerate(count_runs(_bytes_of(own), learn, bits)):
+                    edges = shard_edges(keys, bits if k else 64, shards)
+                    out += [(batch, s, k, b - a, pack_sorted(keys[a:b]), pack(count[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names=["batch", "shard", "kind", "n", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         out = []
@@ -289,7 +312,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["batch", "shard", "kind", "n", "counts", "tokens", "words"])
 
-    asked = packed.groupBy("batch").applyInArrow(lean(ask), "batch long, shard int, kind int, n int, keys binary, counts binary")
+    asked = packed.mapInArrow(lean(ask), "batch long, shard int, kind int, n int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(lean(answer), "batch long, shard int, kind int, n int, counts binary, tokens long, words long")
     answers = materialize(answers, "lm-counts")
     sums = answers.filter("batch = -1").agg(F.sum("tokens"), F.sum("words")).first()
@@ -298,7 +321,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
 
     def traverse(packed_: pa.Table, counts: pa.Table) -> pa.Table:
         own = _texts(packed_.column("blob")[0].as_py())
-        grams = Grams(_bytes_of(own))
+        grams = Grams(_bytes_of(own), bits)
         found = sorted(counts.select(["kind", "shard", "n", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
         seen = [np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], r["n"]) for r in found if r["kind"] == k)]) for k in range(3)]
         del found
