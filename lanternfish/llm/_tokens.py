@@ -95,3 +95,19 @@ def rolling(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     sums = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * up[: len(h)], out=sums[1:])
     return mix64((sums[k:] - sums[:n]) * down[:n] + np.uint64(k))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of x: by a sort, much faster on hashes than numpy's own."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), dtype=bool), x[1:] != x[:-1]])]
+
+
+def index_distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values of x, a place of each, for each element the index of its value)."""
+    order = np.argsort(x)
+    x = x[order]
+    first = np.concatenate([np.ones(min(1, len(x)), dtype=bool), x[1:] != x[:-1]])
+    inverse = np.empty(len(x), dtype=np.int32)
+    inverse[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return x[first], order[first], inverse

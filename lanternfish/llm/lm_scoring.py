@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm._shared import crc_mod, lean, materialize
-from lanternfish.llm._tokens import chunks, hash_docs, mix64
+from lanternfish.llm._tokens import chunks, distinct, hash_docs, index_distinct, mix64
 from lanternfish.sources import tables
 
 #: Pseudo-counts of the shorter context below a state of one and of two words. Additive smoothing of the root.
@@ -110,7 +110,7 @@ def count_runs(texts: list[bytes], learn: np.ndarray, bits: int) -> list[tuple[n
     live = np.repeat(learn, lengths)
     out = []
     for rows, names in found:
-        keys, own = np.unique(names), np.sort(names[live[rows]])
+        keys, own = distinct(names), np.sort(names[live[rows]])
         out.append((keys, np.searchsorted(own, keys, "right").astype(np.uint64) - np.searchsorted(own, keys, "left").astype(np.uint64)))
     return out
 
@@ -126,7 +126,7 @@ class Grams:
         self.token, self.lengths, found = runs(texts, bits)
         self.keys, self.at, self.of = [], [], []
         for rows, names in found:
-            keys, at, inverse = np.unique(names, return_index=True, return_inverse=True)
+            keys, at, inverse = index_distinct(names)
             of = np.full(len(self.token), -1, dtype=np.int32)
             of[rows] = inverse
             self.keys.append(keys)
@@ -300,7 +300,7 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
                 continue
             keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in own])
             count = np.concatenate([unpack(r["counts"], r["n"]) for r in own])
-            _, inverse = np.unique(keys, return_inverse=True)
+            _, _, inverse = index_distinct(keys)
             del keys
             total = np.bincount(inverse, count).astype(np.uint64)
             low = 0

@@ -992,3 +992,14 @@ def test_url_equivalence(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block"}
     assert {r["rule"] for r in out if r["page_id"] in (1, 5)} == {None}
     assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_distinct_values():
+    from lanternfish.llm._tokens import distinct, index_distinct
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        x = rng.integers(0, 100, n, dtype=np.uint64)
+        keys, at, inverse = index_distinct(x)
+        assert distinct(x).tolist() == keys.tolist() == sorted(set(x.tolist()))
+        assert (x[at] == keys).all() and (keys[inverse] == x).all()
