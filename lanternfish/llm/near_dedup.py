@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm._graph import connected_components
 from lanternfish.llm._shared import lean, materialize, partitions_for, small_batches, spread_join
-from lanternfish.llm._tokens import chunks, hash_docs, mix64, rolling
+from lanternfish.llm._tokens import chunks, distinct, hash_docs, mix64, rolling
 from lanternfish.sources import tables
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
         low = 0
         for n in lengths:
             own = rolled[low : low + n - k + 1] if n >= k else rolling(hashes[low : low + n], n) if n else hashes[:0]
-            out.append(np.unique(own))
+            out.append(distinct(own))
             low += n
     return out
 
