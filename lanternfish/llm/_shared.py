@@ -63,16 +63,25 @@ def _collect_soon(spark: SparkSession) -> None:
     timer.start()
 
 
+#: Whether Spark deletes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver ends. Shuffle files that only the plan of df needed are let go soon after:
-    Spark deletes them once the driver's objects for them are collected.
+    The table goes when the driver ends. The shuffle files of its plan go as soon as it is written, or soon after,
+    once the driver's objects for them are collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
     atexit.register(_remove, spark, path)
     del df
     _collect_soon(spark)
