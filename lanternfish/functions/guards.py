@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lanternfish.functions.text import strip
 
+#: Characters of a url; characters of a title or an error in what an agent reads.
 MAX_URL_CHARS, MAX_AGENT_CHARS = 2048, 128
 
 

@@ -11,7 +11,7 @@ from lanternfish.schema import WEB_TYPE
 from lanternfish.sources.article import extract_udf
 
 #: What an item of a batch can come to (fixed values of the reply format).
-OK, FETCH_ERROR, EXTRACT_ERROR = "ok", "fetch_error", "extract_error"
+OK, FETCH_ERROR, EXTRACT_ERROR, ERROR = "ok", "fetch_error", "extract_error", "error"
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -32,7 +32,7 @@ def route(items: DataFrame) -> DataFrame:
     return items.withColumns({"source": F.when(by_url, F.col("url")).otherwise(F.col("source_url")), "origin": F.when(by_url, F.lit("url")).otherwise(F.lit("html"))})
 
 
-def batch(items: DataFrame, position: str = "item") -> tuple[DataFrame, DataFrame]:
+def batch(items: DataFrame, position: str = "item", size: int = 400, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
     """(replies, chunks to index) of items (position, source, html, fetch_error).
 
     Each item fails or succeeds on its own: replies hold position, source, status, error, title,
@@ -43,13 +43,19 @@ def batch(items: DataFrame, position: str = "item") -> tuple[DataFrame, DataFram
     status = F.when(F.col("fetch_error").isNotNull(), FETCH_ERROR).when(F.col("extract_error").isNotNull(), EXTRACT_ERROR).otherwise(OK)
     done = done.withColumns({"status": status, "error": F.coalesce("fetch_error", "extract_error")})
     good = done.filter(F.col("status") == OK)
-    cut = chunking.chunk(good.select(position, "source", "content"))
+    cut = chunking.chunk(good.select(position, "source", "content"), size, overlap)
     sums = chunking.summaries(cut, position)
     replies = done.select(position, "source", "status", "error", "title").join(sums, position, "left")
     replies = replies.withColumns({"chunks_indexed": F.coalesce("chunks_indexed", F.lit(0)), "words": F.coalesce("words", F.lit(0)), "preview": F.coalesce("preview", F.lit(""))})
     latest = chunking.latest_of_batch(good, "source", position, ["content", "title", "page_metadata"])
     fresh = chunking.with_ids(latest.withColumns({"type": F.lit(WEB_TYPE), "url": F.col("source")}))
-    return replies, chunking.chunk(fresh)
+    return replies, chunking.chunk(fresh, size, overlap)
+
+
+def failed(replies: DataFrame, why: str) -> DataFrame:
+    """replies of a batch whose write failed: what was to be stored has the status error."""
+    lost = F.col("status") == OK
+    return replies.withColumns({"error": F.when(lost, F.lit(why)).otherwise(F.col("error")), "chunks_indexed": F.when(lost, 0).otherwise(F.col("chunks_indexed")), "status": F.when(lost, ERROR).otherwise(F.col("status"))})
 
 
 def validated(items: DataFrame, most: int = 5 << 20) -> DataFrame:
