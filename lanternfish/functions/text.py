@@ -49,22 +49,3 @@ def fingerprint(secret: Column, length: int = 12) -> Column:
 def text_id(*parts: Column) -> Column:
     """A reproducible 32-digit id of some columns; unlike uuid() it survives recomputation."""
     return F.left(F.sha2(F.concat_ws("\0", *parts), 256), F.lit(32))
-
-
-#: Entities that simple article pages use (fixed values), as code points' text.
-ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"))
-
-
-def element_text(html: Column, element: str) -> Column:
-    """Text of the first element of that name in simple pages: tags to spaces, entities decoded, spaces collapsed."""
-    inner = F.regexp_extract(html, rf"(?is)<{element}(?:\s[^>]*)?>(.*?)</{element}>", 1)
-    flat = F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]*>", " "), r"\s+", " ")
-    for name, char in ENTITIES:
-        flat = F.replace(flat, F.lit(name), F.lit(char))
-    return F.trim(flat)
-
-
-def meta_content(html: Column, name: str) -> Column:
-    """content of the first meta element of that name; null where there is none."""
-    found = F.regexp_extract(html, rf'(?is)<meta[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)"', 1)
-    return F.nullif(found, F.lit(""))

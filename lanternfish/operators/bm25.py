@@ -62,8 +62,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
 
 
-def idf_table(index: DataFrame, stats_: DataFrame) -> DataFrame:
-    return document_frequency(index).crossJoin(F.broadcast(stats_)).select("term", "df", scoring.idf(F.col("n"), F.col("df")).alias("idf"))
+def chunk_frequency(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """term, df straight from chunks: a chunk names each of its terms once, and what is counted is combined before the shuffle."""
+    return chunks.select(F.explode(F.array_distinct(text.tokens(F.col(content)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf_table(frequency: DataFrame, stats_: DataFrame) -> DataFrame:
+    return frequency.crossJoin(F.broadcast(stats_)).select("term", "df", scoring.idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def matches(chunks: DataFrame, keys: list[str], queries: DataFrame, content: str = "content") -> DataFrame:
@@ -97,7 +102,7 @@ def _weigh(hits: DataFrame, n: int, avgdl: float, df: dict[str, int], asked: dic
     """qid, keys, score from postings of the asked terms: frequencies are literals, so there is no join."""
     idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in asked if df.get(t)}
     if not idf:
-        return hits.limit(0).select(F.lit(0).cast("long").alias("qid"), *keys, F.lit(0.0).alias("score"))
+        return hits.select(F.lit(0).cast("long").alias("qid"), *keys, F.lit(0.0).alias("score")).filter(F.lit(False))
     weight = F.create_map(*[F.lit(x) for t, w in idf.items() for x in (t, w)])
     part = scoring.bm25_term(weight[F.col("term")], F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
     who = F.create_map(*[x for t in idf for x in (F.lit(t), F.array(*map(F.lit, asked[t])).cast("array<long>"))])

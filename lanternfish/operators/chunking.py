@@ -50,9 +50,14 @@ def corpus_hash(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def corpus_marks(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """One row that changes with any chunk, its source or its place: sums of hashes, aggregated in parallel."""
-    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *order, "source", "content").cast("decimal(38,0)"))
-    return chunks.agg(F.count("*").alias("n"), h(1).alias("a"), h(2).alias("b"))
+    """One row, corpus_marks, that changes with any chunk, its source or its place.
+
+    Each chunk's sha256 covers its source, place and content; the parts of all digests are summed in parallel, so
+    that a corpus of any size costs one pass and a row per task.
+    """
+    leaf = F.sha2(F.concat_ws("\0", F.coalesce("source", F.lit("")), *(F.col(c).cast("string") for c in order), "content"), 256)
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 16, 31, 46)]
+    return chunks.select(leaf.alias("h")).agg(F.sha2(F.concat_ws(" ", *parts), 256).alias("corpus_marks"))
 
 
 def summaries(chunks: DataFrame, source: str = "source") -> DataFrame:

@@ -10,20 +10,27 @@ from lanternfish.operators import bm25, vector
 from lanternfish.schema import DEFAULT_TYPE, EVIDENCE_VERSION, UNKNOWN_SOURCE
 
 
-def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
     """qid, rank, keys, confidence, vector_score, keyword_score of each query's k best chunks.
 
     chunks: keys, content, embedding (null: cosine 0). queries: qid, query, query_vec; bounded by the request limits.
-    Ties go by keys, which give corpus order. index, stats: stored postings and statistics; made from chunks if absent.
-    Content stays behind: join it back to the k winners with materialise().
+    Ties go by keys, which give corpus order. index, totals: stored postings, and the numbers of chunks and tokens;
+    made from chunks if absent. Content stays behind: join it back to the k winners with materialise().
+
+    A chunk without a keyword match has the lowest keyword score, so of those only the k best by their vectors can
+    win: each task drops all its others, and only matches and these are joined.
     """
-    if index is None or stats is None:
+    if index is None or totals is None:
         words, stats = bm25.score_chunks(chunks, keys, queries)
     else:
-        words = bm25.score(index, stats, queries, keys)
+        n, total = totals
+        mean = total / n if n else 0.0
+        words = bm25.lookup(index, n, mean, queries, keys)
+        stats = chunks.sparkSession.createDataFrame([(n, total, mean)], "n long, total_length long, avgdl double")
     ends = bm25.spread(words, stats, queries)
     near = vector.cosine(chunks, queries, keys).withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
-    both = near.join(words, ["qid", *keys], "left").join(F.broadcast(ends), "qid")
+    alone = vector.rank(near, F.round(F.lit(wv) * F.col("vector_score"), 9), keys, k).drop("rank").join(words, ["qid", *keys], "left_anti")
+    both = words.join(near, ["qid", *keys]).unionByName(alone, allowMissingColumns=True).join(F.broadcast(ends), "qid")
     keyword = scoring.min_max(F.coalesce("score", F.lit(0.0)), F.col("low"), F.col("high"))
     fused = both.select("qid", *keys, "vector_score", keyword.alias("keyword_score")).withColumn("confidence", scoring.fuse(F.col("vector_score"), F.col("keyword_score"), wv, wk))
     return vector.rank(fused, F.round("confidence", 9), keys, k)
@@ -48,9 +55,10 @@ def envelope(rows: DataFrame, query: str = "query", item: str = "evidence") -> D
 
 
 def resolve_top_k(top_k: int | None, default: int, most: int) -> int:
-    """How many results: the default as it is, a caller's number at least 1 and cut at most."""
-    if top_k is None:
-        return default
-    if top_k < 1:
-        raise ValueError(f"top_k must be >= 1, got {top_k}")
-    return min(top_k, most)
+    """How many results a request gets: default if it doesn't say, else what it says within 1 to most.
+
+    The default is the operator's own choice and not cut; less than one result is refused.
+    """
+    if top_k is not None and top_k <= 0:
+        raise ValueError(f"top_k: {top_k} results can't be given, ask for one at least")
+    return default if top_k is None else min(most, top_k)

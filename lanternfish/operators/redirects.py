@@ -12,19 +12,14 @@ def follow(facts: DataFrame, budget: int = 5) -> DataFrame:
     budget responses are looked at, so budget - 1 redirects succeed; a longer chain, or a loop, is an error,
     and so is a hop to an unknown url. A bounded number of equi-joins; urls that have arrived join no more.
     """
-    hop = facts.select(F.col("url").alias("at"), F.col("location").alias("next"))
+    hop = facts.select(F.col("url").alias("want"), F.col("location").alias("then"), F.lit(True).alias("found"))
     now = facts.select("url", F.col("url").alias("at"), F.col("location").alias("next"), F.lit(0).alias("hops"), F.lit(True).alias("known"))
+    arrived = []
     for _ in range(budget - 1):
-        asked = now.withColumn("want", F.when(F.col("known"), F.col("next")))
-        step = hop.select(F.col("at").alias("want"), F.col("next").alias("then"), F.lit(True).alias("found"))
-        met = asked.join(step, "want", "left")
-        moved = F.col("want").isNotNull()
-        now = met.select(
-            "url",
-            F.when(moved, F.col("want")).otherwise(F.col("at")).alias("at"),
-            F.when(moved, F.col("then")).otherwise(F.col("next")).alias("next"),
-            (F.col("hops") + moved.cast("int")).alias("hops"),
-            F.when(moved, F.coalesce("found", F.lit(False))).otherwise(F.col("known")).alias("known"),
-        )
+        arrived.append(now.filter("NOT known OR next IS NULL"))  # apart, or all would meet under one null key
+        met = now.filter("known AND next IS NOT NULL").withColumnRenamed("next", "want").join(hop, "want", "left")
+        now = met.select("url", F.col("want").alias("at"), F.col("then").alias("next"), (F.col("hops") + 1).alias("hops"), F.coalesce("found", F.lit(False)).alias("known"))
+    for part in arrived:
+        now = now.unionByName(part)
     error = F.when(~F.col("known"), F.lit("unknown url")).when(F.col("next").isNotNull(), F.lit("too many redirects"))
     return now.select("url", F.when(error.isNull(), F.col("at")).alias("final"), "hops", error.alias("error"))

@@ -41,6 +41,9 @@ def top_cosine(chunks: DataFrame, queries: list[tuple[int, list[float]]], key: s
                 continue
             names = batch.column(0).to_numpy()
             lists = batch.column(1)
+            widths = np.diff(lists.offsets.to_numpy())
+            if (widths != matrix.shape[1]).any():
+                raise ValueError(f"vectors of width {matrix.shape[1]} are asked for, the rows have {sorted(set(widths.tolist()))}")
             rows = np.asarray(lists.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             denominator = np.linalg.norm(rows, axis=1)[:, None] * size[None, :]
             denominator[denominator == 0] = scoring.TINY
