@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +42,19 @@ def turns(spark, sf) -> DataFrame:
     return chunking.chunk(rows, SIZE, OVERLAP).withColumnRenamed("order", "ord")
 
 
-def articles(spark, sf) -> DataFrame:
-    """page_id, url, title, content of pages by the SQL variant of extraction (simple article pages)."""
-    return table(spark, sf, "pages").select("page_id", "url", text.element_text(F.col("html"), "title").alias("title"), text.element_text(F.col("html"), "article").alias("content"))
+def pages(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", "url", "html")
+
+
+def read_pages(spark, sf) -> DataFrame:
+    """Documents that the reader makes of pages, cut into chunks."""
+    return chunking.chunk(ingest.documents(pages(spark, sf)), SIZE, OVERLAP)
+
+
+def items(spark, sf, source) -> DataFrame:
+    """pages as items of an ingest batch; those without https could not be fetched, by our convention."""
+    refused = guards.url_error(F.regexp_replace("url", "^http:", "ftp:"))
+    return pages(spark, sf).select(F.col("page_id").alias("item"), source.alias("source"), "html", refused.alias("fetch_error"))
 
 
 def queries_df(spark, which=BATCH) -> DataFrame:
@@ -53,12 +66,6 @@ def with_vectors(spark, sf, which=BATCH) -> DataFrame:
     return queries_df(spark, which).join(vectors, "vec_id").select("qid", "query", "query_vec")
 
 
-def embedded(spark, sf) -> DataFrame:
-    """Chunks of documents that have a vector (vec_id = doc_id, by our convention)."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return chunking.chunk(documents(spark, sf).join(vectors, "doc_id"), SIZE, OVERLAP).withColumnRenamed("order", "ord")
-
-
 def every_document(spark, sf) -> DataFrame:
     """Chunks of all documents; embedding is null where a document has no vector."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -102,7 +109,7 @@ def doc_lengths(spark, sf):
 
 
 def document_frequency(spark, sf):
-    return bm25.document_frequency(bm25.postings(chunks(spark, sf), KEYS))
+    return bm25.chunk_frequency(chunks(spark, sf))
 
 
 def corpus_stats(spark, sf):
@@ -111,7 +118,7 @@ def corpus_stats(spark, sf):
 
 def idf_table(spark, sf):
     c = chunks(spark, sf)
-    return bm25.idf_table(bm25.postings(c, KEYS), bm25.stats(bm25.lengths(c, KEYS))).withColumn("idf", r9("idf"))
+    return bm25.idf_table(bm25.chunk_frequency(c), bm25.stats(bm25.lengths(c, KEYS))).withColumn("idf", r9("idf"))
 
 
 def query_terms(spark, sf):
@@ -188,7 +195,7 @@ def cosine_zero_vector(spark, sf):
 
 
 def _ranked(spark, sf, which=BATCH, k=TOP):
-    return hybrid.search(embedded(spark, sf), with_vectors(spark, sf, which), KEYS, k)
+    return hybrid.search(every_document(spark, sf), with_vectors(spark, sf, which), KEYS, k)
 
 
 def _scores(rows):
@@ -203,12 +210,6 @@ def hybrid_batch(spark, sf):
     return _scores(_ranked(spark, sf)).select("qid", "rank", *KEYS, "confidence", "vector_score", "keyword_score")
 
 
-def hybrid_every_document(spark, sf):
-    """The batch over chunks of all documents: a missing vector counts as cosine 0."""
-    rows = hybrid.search(every_document(spark, sf), with_vectors(spark, sf), KEYS, TOP)
-    return _scores(rows).select("qid", "rank", *KEYS, "confidence", "vector_score", "keyword_score")
-
-
 def _evidence(spark, sf, k):
     wide = hybrid.materialise(_ranked(spark, sf, BATCH, k), chunks(spark, sf), KEYS)
     item = hybrid.evidence(F.col("content"), F.col("source"), F.lit(None).cast("string"), F.col("confidence"), F.col("vector_score"), F.col("keyword_score"), F.col("doc_id").cast("string"))
@@ -239,109 +240,140 @@ def evidence_defaults(spark, sf):
 
 
 def page_title(spark, sf):
-    return articles(spark, sf).select("page_id", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"), F.lit("untitled")).alias("title"))
+    return ingest.extract(pages(spark, sf)).select("page_id", "title")
 
 
 def page_article_text(spark, sf):
-    return articles(spark, sf).select("page_id", "content")
+    """The documents that ingest makes of pages."""
+    return ingest.documents(pages(spark, sf)).select("id", "source", "content", "type", "title", "url")
 
 
 def page_metadata(spark, sf):
-    h = F.col("html")
-    return table(spark, sf, "pages").select("page_id", "url", text.meta_content(h, "author").alias("author"), text.meta_content(h, "date").alias("date"), text.meta_content(h, "og:site_name").alias("sitename"))
+    m = F.col("page_metadata")
+    return ingest.extract(pages(spark, sf)).select("page_id", m["url"].alias("url"), m["author"].alias("author"), m["date"].alias("date"), m["sitename"].alias("sitename"))
 
 
 def page_markdown(spark, sf):
-    """Extraction with the tree-aware reader (links, tables and code kept); no SQL form."""
-    return ingest.extract(table(spark, sf, "pages")).select("page_id", "title", "content", "extract_error")
+    return ingest.extract(pages(spark, sf)).select("page_id", "title", "content", "extract_error")
 
 
 def ingest_pages_chunks(spark, sf):
-    cut = chunking.chunk(articles(spark, sf).select("page_id", "url", "title", "content"), SIZE, OVERLAP)
-    return cut.select("page_id", F.col("url").alias("source"), "title", F.col("order").alias("ord"), "content")
+    return read_pages(spark, sf).select("id", "source", "title", F.col("order").alias("ord"), "content")
 
 
 def ingest_status(spark, sf):
-    """A url with another scheme than http is a fetch error; a page without article text an extract error."""
-    a = articles(spark, sf).withColumn("fetch_error", guards.url_error(F.regexp_replace("url", "^http:", "ftp:")))
-    status = F.when(F.col("fetch_error").isNotNull(), ingest.FETCH_ERROR).when(F.col("content") == "", ingest.EXTRACT_ERROR).otherwise(ingest.OK)
-    return a.select("page_id", "url", status.alias("status"))
+    """Replies of a batch: a refused url is a fetch error; a page without content an extract error."""
+    replies, _ = ingest.batch(items(spark, sf, F.col("url")))
+    return replies.select("item", "source", "status", F.col("error").isNotNull().alias("failed"), "title", "chunks_indexed")
 
 
 def ingest_batch_dedup(spark, sf):
-    a = articles(spark, sf).withColumn("source", guards.host_of(F.col("url")))
-    return chunking.latest_of_batch(a, "source", "page_id", ["content", "title"]).select("source", "page_id", F.sha2("content", 256).alias("content_sha"), "title")
+    """What a batch stores where all pages of a host are one source: the last one's content at the first one's place."""
+    _, cut = ingest.batch(items(spark, sf, guards.host_of(F.col("url"))))
+    return cut.select("source", "item", F.col("order").alias("ord"), F.sha2("content", 256).alias("content_sha"), "title", "type")
 
 
 def page_payload(spark, sf):
-    cut = chunking.chunk(articles(spark, sf).select(F.col("url").alias("source"), F.col("page_id").cast("string").alias("id"), "content"), SIZE, OVERLAP)
-    return chunking.page_payload(cut).select("source", F.to_json(F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), F.length(c["content"]).alias("chars"), c["order"].alias("order")))).alias("chunks"))
+    """The chunks of each stored page as an ingest reply carries them."""
+    _, cut = ingest.batch(items(spark, sf, F.col("url")))
+    payload = chunking.page_payload(cut)
+    return payload.select("source", F.to_json(F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), F.length(c["content"]).alias("chars"), c["order"].alias("order")))).alias("chunks"))
 
 
 def ingest_summary(spark, sf):
-    cut = chunking.chunk(articles(spark, sf).select(F.col("url").alias("source"), "content"), SIZE, OVERLAP)
-    return chunking.summaries(cut)
+    replies, _ = ingest.batch(items(spark, sf, F.col("url")))
+    return replies.select("item", "chunks_indexed", "words", "preview")
 
 
-def source_upsert_latest(spark, sf):
-    """Conversations replace what the documents have of src1 and src2, then stand at the end."""
-    old, new = chunks(spark, sf), turns(spark, sf)
-    incoming = new.withColumn("source", F.when(F.col("turn") % 2 == 0, F.lit("src1")).otherwise(F.lit("src2")))
-    kept = old.join(incoming.select("source").distinct(), "source", "left_anti")
-    out = kept.withColumn("layer", F.lit(0)).unionByName(incoming.withColumn("layer", F.lit(1)), allowMissingColumns=True)
-    return out.select("layer", "source", "doc_id", "conv_id", "turn", "ord", F.length("content").alias("chars"))
+# -- the store ---------------------------------------------------------------------------------
 
 
-# -- the store's log -----------------------------------------------------------------------
+def _stored(spark, sf, *steps) -> store.SegmentedStore:
+    """A store of its own in the shared folder, after the chunks of documents and some steps."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    out = store.SegmentedStore(spark, f"{folder.rstrip('/')}/lanternfish-{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
+    atexit.register(out.files.remove, "")
+    out.upsert(_rows(chunks(spark, sf), "doc_id"))
+    for step in steps:
+        step(out)
+    return out
 
 
-def _log(spark, sf):
-    """events as a store's log: each a write of 1..5 chunks of its user's source, an error its removal."""
-    e = table(spark, sf, "events")
-    return e.select(F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("source"), (F.col("event_id") % 5 + 1).alias("n"), (F.col("event_type") == "error").alias("removed"))
+def _rows(cut: DataFrame, *ids: str) -> DataFrame:
+    return cut.select(F.concat_ws("-", *ids).alias("id"), "source", "content", F.col("ord").alias("order"))
 
 
-def manifest_replay(spark, sf):
-    return store.replay(_log(spark, sf))
+def _replace(spark, sf):
+    """A step: conversations come as new content of src1 and src2."""
+    new = turns(spark, sf).withColumn("source", F.when(F.col("turn") % 2 == 0, F.lit("src1")).otherwise(F.lit("src2")))
+    return lambda s: s.upsert(_rows(new, "conv_id", "turn"))
+
 
+def source_upsert_latest(spark, sf):
+    """Conversations replace what the store has of src1 and src2, then stand at the end."""
+    rows = _stored(spark, sf, _replace(spark, sf)).load()
+    return rows.select((F.col("pos") > 0).cast("int").alias("later"), "source", "id", F.col("order").alias("ord"), F.length("content").alias("chars"))
 
-def _stats(spark, sf):
-    log = _log(spark, sf)
-    live = store.replay(log).agg(F.sum("n").alias("live_chunks"), F.count("*").alias("sources"))
-    done = log.filter("NOT removed").agg(F.sum("n").alias("written"), F.count("*").alias("segments"))
-    return live.crossJoin(done)
+
+def delete_sources(spark, sf):
+    """The store's chunks by source after src1 and a source that isn't there were deleted, and src2 came anew."""
+    s = _stored(spark, sf, lambda s: s.delete_sources(["src1", "nobody"]), _replace(spark, sf), lambda s: s.delete_sources(["src1"]))
+    return s.load().groupBy("source").agg(F.count("*").alias("n_chunks"))
 
 
 def store_stats(spark, sf):
-    return _stats(spark, sf).select("live_chunks", "sources", (F.col("written") - F.col("live_chunks")).alias("dead_chunks"), "segments")
+    return _stored(spark, sf, _replace(spark, sf), lambda s: s.delete_sources(["src7"])).stats()
 
 
-def compaction_due(spark, sf):
-    dead = F.col("written") - F.col("live_chunks")
-    due = (F.col("segments") > store.SEGMENTS_MOST) | (dead >= store.DEAD_LEAST) & (dead >= store.DEAD_RATIO * F.col("written"))
-    return _stats(spark, sf).select(due.alias("due"), r9(dead / F.col("written")).alias("dead_ratio"))
+def store_totals(spark, sf):
+    """Statistics of the keyword index as the store keeps them."""
+    s = _stored(spark, sf, _replace(spark, sf), lambda s: s.delete_sources(["src7"]))
+    n, total = s.totals()
+    return spark.createDataFrame([(n, total)], "n long, total_length long")
 
 
-def delete_sources(spark, sf):
-    """Of the sources that error events name, those that are live: what a deletion would log."""
-    log = _log(spark, sf)
-    named = table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("source")).distinct()
-    return named.join(store.replay(log), "source", "left_semi")
+def store_postings(spark, sf):
+    """Document frequencies of the stored index after replacements and a deletion."""
+    s = _stored(spark, sf, _replace(spark, sf), lambda s: s.delete_sources(["src7"]))
+    return bm25.document_frequency(s.postings())
+
+
+def compaction_due(spark, sf):
+    """Everything but src7 is written again: the dead weight is reclaimed."""
+    again = _rows(chunks(spark, sf).filter("source <> 'src7'"), "doc_id")
+    s = _stored(spark, sf, lambda s: s.upsert(again))
+    by_source = s.load().groupBy("source").agg(F.count("*").alias("n_chunks"))
+    return by_source.crossJoin(F.broadcast(s.stats().select("dead_chunks", "sources")))
 
 
 def orphan_segments(spark, sf):
-    """Files that no manifest names: pages' hosts that no live source owns."""
-    live = table(spark, sf, "documents").select(F.concat(F.lit("seg-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("segment"))
-    files = table(spark, sf, "embeddings").select(F.concat(F.lit("seg-"), F.lpad((F.col("vec_id") * 3).cast("string"), 6, "0")).alias("segment"))
-    return files.join(live, "segment", "left_anti")
+    """What the store's cleaning removes: a segment that no manifest names, and older manifests."""
+    s = _stored(spark, sf, _replace(spark, sf))
+    spark.range(1).write.parquet(f"{s.folder}/seg-999999-stray/chunks")
+    return spark.createDataFrame([(n,) for n in s.vacuum()], "segment string")
+
+
+# -- the store's log -----------------------------------------------------------------------
+
+
+def _log(spark, sf):
+    """events as a store's log: each a write of 1..5 chunks of its user's source, an error its removal."""
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("source"), (F.col("event_id") % 5 + 1).alias("n"), (F.col("event_type") == "error").alias("removed"))
+
+
+def manifest_replay(spark, sf):
+    return store.replay(_log(spark, sf))
 
 
 def corpus_hash(spark, sf):
-    """A digest per source of its chunks in order (a documentation layer each)."""
-    c = chunks(spark, sf)
-    part = F.concat("source", F.lit("\0"), "content", F.lit("\0"))
-    rows = c.select("source", F.struct("doc_id", "ord", part.alias("part")).alias("r"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["part"]), ""), 256).alias("corpus_hash"))
+    """The exact digest of a small layer: nations as documents."""
+    docs = table(spark, sf, "nation").select(F.col("n_name").alias("source"), F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")).alias("content"))
+    return chunking.corpus_hash(chunking.chunk(docs, SIZE, OVERLAP), ["source", "order"])
+
+
+def corpus_marks(spark, sf):
+    return chunking.corpus_marks(chunks(spark, sf), KEYS)
 
 
 # -- guards, service -------------------------------------------------------------------------
@@ -396,9 +428,9 @@ def embed_sparse(spark, sf):
 
 ALL = (
     chunk_windows, chunk_counts_by_source, chunk_tail_contained, corpus_two_layers, corpus_size, term_counts, doc_lengths, document_frequency, corpus_stats, idf_table, query_terms,
-    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_every_100th_topk, cosine_zero_vector, hybrid_search, hybrid_batch, hybrid_every_document, evidence, evidence_json,
+    bm25_single, bm25_batch, bm25_minmax, bm25_after_removal, bm25_incremental, cosine_topk, cosine_batch_topk, cosine_every_100th_topk, cosine_zero_vector, hybrid_search, hybrid_batch, evidence, evidence_json,
     passages, evidence_defaults, page_title, page_article_text, page_metadata, page_markdown, ingest_pages_chunks, ingest_status, ingest_batch_dedup, page_payload, ingest_summary,
-    source_upsert_latest, manifest_replay, store_stats, compaction_due, delete_sources, orphan_segments, corpus_hash, request_bounds, url_guard, content_type_guard, ip_guard, redirect_chains,
+    source_upsert_latest, manifest_replay, store_stats, store_totals, store_postings, compaction_due, delete_sources, orphan_segments, corpus_hash, corpus_marks, request_bounds, url_guard, content_type_guard, ip_guard, redirect_chains,
     key_fingerprint, token_bucket, embed_hashing, embed_sparse,
 )
 

@@ -53,7 +53,7 @@ def test_hybrid_search_finds_documents_without_a_vector(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     vectors = [(k, [0.0, 1.0] if k == 7 else [1.0, 0.0]) for k in range(70)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    out = entry_point.queries()["hybrid_every_document"](spark, str(tmp_path)).filter("qid = 1").orderBy("rank").collect()
+    out = entry_point.queries()["hybrid_batch"](spark, str(tmp_path)).filter("qid = 1").orderBy("rank").collect()
     assert [r["doc_id"] for r in out[:11]] == [7, *range(80, 90)]
     assert all(r["keyword_score"] == 1 and r["vector_score"] == 0 for r in out[1:11])
 
