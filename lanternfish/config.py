@@ -11,26 +11,33 @@ from dataclasses import dataclass, field
 log = logging.getLogger(__name__)
 PREFIX = "LANTERNFISH_"
 BACKENDS = ("segmented", "rewrite")
+#: Least values (fixed values of the settings).
+LEAST = {"chunk_size": 1, "ingest_rate_limit": 0, "ingest_rate_window": 1, "max_batch_ingest": 1, "max_batch_queries": 1, "top_k": 1}
 
 
 @dataclass(frozen=True)
 class Settings:
     """Every knob of the engine; instances are immutable and passed explicitly."""
 
-    vector_model: str = "hashing"
+    # Where things are.
     docs_path: str = "data/docs"
     index_dir: str = "data/index"
-    top_k: int = 3
-    vector_weight: float = 0.65
-    keyword_weight: float = 0.35
+    chunk_store: str = "segmented"
+    # Chunks and vectors.
     chunk_size: int = 400
     chunk_overlap: int = 50
-    chunk_store: str = "segmented"
-    max_top_k: int = 50
-    max_query_chars: int = 2000
-    max_html_chars: int = 5 << 20
-    max_batch_queries: int = 10
+    vector_model: str = "hashing"
+    # Ranking.
+    top_k: int = 3
+    keyword_weight: float = 0.35
+    vector_weight: float = 0.65
+    # Bounds of a request.
     max_batch_ingest: int = 5
+    max_batch_queries: int = 10
+    max_html_chars: int = 5 << 20
+    max_query_chars: int = 2000
+    max_top_k: int = 50
+    # Callers.
     api_keys: tuple[str, ...] = ()
     ingest_rate_limit: int = 30
     ingest_rate_window: int = 60
@@ -39,14 +46,13 @@ class Settings:
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        at_least = (("chunk_size", 1), ("top_k", 1), ("max_batch_queries", 1), ("max_batch_ingest", 1), ("ingest_rate_limit", 0), ("ingest_rate_window", 1))
-        for name, low in at_least:
-            if getattr(self, name) < low:
-                raise ValueError(f"{name} must be >= {low}, got {getattr(self, name)}")
+        wrong = [f"{name} is {getattr(self, name)}, less than {low}" for name, low in LEAST.items() if getattr(self, name) < low]
         if not 0 <= self.chunk_overlap < self.chunk_size:
-            raise ValueError(f"chunk_overlap must be from 0 to below chunk_size ({self.chunk_size}), got {self.chunk_overlap}")
+            wrong.append(f"windows of {self.chunk_size} words can't share {self.chunk_overlap}")
         if self.chunk_store not in BACKENDS:
-            raise ValueError(f"chunk_store must be one of {BACKENDS}, got {self.chunk_store!r}")
+            wrong.append(f"no chunk store {self.chunk_store!r} among {', '.join(BACKENDS)}")
+        if wrong:
+            raise ValueError("; ".join(wrong))
 
 
 def comma_list(raw) -> tuple[str, ...]:
@@ -71,7 +77,7 @@ def load(path: str | None = None, env: dict[str, str] | None = None) -> Settings
         try:
             values[name] = {"int": int, "float": float}.get(kind, comma_list if kind.startswith("tuple") else str)(raw)
         except ValueError:
-            log.warning("ignoring %s%s=%r: not a valid %s", PREFIX, name.upper(), raw, kind)
+            log.warning("%s%s stays as it was: %r can't be read as %s", PREFIX, name.upper(), raw, kind)
     if isinstance(values.get("api_keys"), list):
         values["api_keys"] = comma_list(values["api_keys"])
     return Settings(**values, extra=extra)
