@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish import config
-from lanternfish.engine import Engine, RateLimited
+from lanternfish.engine import Agent, BadRequest, Engine, NoContent, RateLimited
 from lanternfish.operators import chunking, ingest, limiter, redirects, store
 from lanternfish.sources import article, jsonstore, markdown, web
 from lanternfish.streaming import ingest as stream_ingest
@@ -112,6 +112,56 @@ def test_compaction_rules(spark, tmp_path):
     assert gone and held(s)[0][2] == 2.0
 
 
+def test_many_segments_are_merged_from_the_newest_back(spark, tmp_path, monkeypatch):
+    """Old, large segments are left alone; corpus order and the index stay right through several merges."""
+    monkeypatch.setattr(store, "SEGMENTS_MOST", 3)
+    s = store.SegmentedStore(spark, str(tmp_path))
+    s.upsert(page(spark, "old", 40, 1))
+    first = s.manifest()["entries"][0]["name"]
+    s.upsert(page(spark, "gone", 1, 1))
+    s.delete_sources(["gone"])
+    for k in range(7):
+        s.upsert(page(spark, f"p{k}", 2, k))
+    entries = s.manifest()["entries"]
+    assert entries[0]["name"] == first and sum(not e["removes"] for e in entries) <= 4
+    rows = s.load().orderBy("pos", "row").collect()
+    assert [(r["source"], r["order"]) for r in rows] == [("old", k) for k in range(40)] + [(f"p{k}", j) for k in range(7) for j in range(2)]
+    assert len({(r["pos"], r["row"]) for r in rows}) == len(rows)
+    assert s.postings().select("source", "row").distinct().count() == len(rows)
+    assert s.totals() == (54, sum(r["dl"] for r in rows)) and s.stats().first()["dead_chunks"] == 0
+    s.compact()
+    s.compact()
+    again = s.load().orderBy("pos", "row").collect()
+    assert [(r["source"], r["order"]) for r in again] == [(r["source"], r["order"]) for r in rows] and len({r["row"] for r in again}) == 54
+
+
+def test_only_segments_with_dead_weight_are_rewritten(spark, tmp_path):
+    s = store.SegmentedStore(spark, str(tmp_path))
+    s.upsert(page(spark, "a", 300, 1))
+    s.upsert(page(spark, "b", 150, 1).unionByName(page(spark, "c", 50, 1)))
+    kept = s.manifest()["entries"][0]["name"]
+    s.upsert(page(spark, "b", 100, 2))
+    assert s.stats().first()["dead_chunks"] == 150  # a quarter of all
+    s.delete_sources(["c", "nobody"])
+    assert s.manifest()["entries"][0]["name"] == kept and tuple(s.stats().first()) == (400, 2, 0, 2)
+    assert [r["source"] for r in s.load().groupBy("source", "pos").count().orderBy("pos").collect()] == ["a", "b"]
+
+
+def test_segments_of_several_schemas(spark, tmp_path):
+    s = store.SegmentedStore(spark, str(tmp_path))
+    s.upsert(page(spark, "a", 2, 1))
+    s.upsert(page(spark, "b", 2, 2).withColumn("title", F.lit("t")))
+    assert {r["title"] for r in s.load().collect()} == {None, "t"}
+
+
+def test_a_rewrite_store_is_adopted_where_it_lies(spark, tmp_path):
+    old = store.make_store("rewrite", spark, str(tmp_path))
+    old.upsert(page(spark, "a", 3, 1))
+    old.upsert(page(spark, "b", 1, 2))
+    new = store.make_store("segmented", spark, str(tmp_path))
+    assert held(new) == held(old) and store.make_store("segmented", spark, str(tmp_path)).version() == 1
+
+
 def test_damage_is_not_an_empty_store(spark, tmp_path):
     s = store.SegmentedStore(spark, str(tmp_path))
     s.upsert(page(spark, "a", 1, 1))
@@ -130,7 +180,7 @@ def test_orphans_go_and_other_stores_are_adopted(spark, tmp_path):
     s = store.SegmentedStore(spark, str(tmp_path / "new"))
     old = store.RewriteStore(spark, str(tmp_path / "old"))
     old.upsert(page(spark, "a", 2, 1))
-    assert s.adopt(old.load().drop("pos")) and not s.adopt(old.load())
+    assert s.adopt(old.load()) and not s.adopt(old.load())
     page(spark, "x", 1, 1).write.parquet(str(tmp_path / "new" / "seg-000099-dead" / "chunks"))
     assert "seg-000099-dead" in s.vacuum() and len(held(s)) == 2
 
@@ -285,7 +335,7 @@ def test_engine(spark, engine):
     out = engine.search_many(["newer words", "api key"], 2).collect()
     assert [(r["qid"], r["rank"]) for r in out] == [(0, 1), (0, 2), (1, 1), (1, 2)]
     assert out[0]["evidence"]["source"] == "http://a/" and out[2]["evidence"]["source"] == "auth.md"
-    assert engine.health()["corpus_size"] == 3 and engine.keyword_stats().first()["n"] == 3
+    assert engine.health()["corpus_size"] == 3 and engine.totals()[0] == 3
     with pytest.raises(RateLimited):
         engine.ingest_batch(items(spark), now=1.0)
     with pytest.raises(ValueError, match="top_k"):
@@ -295,6 +345,64 @@ def test_engine(spark, engine):
     assert again.docs().count() == 2 and again.search("newer words", 1).first()["evidence"]["source"] == "http://a/"
 
 
+def test_a_call_reads_one_version(spark, engine, monkeypatch):
+    """A write between the reads of a search is not seen by any of them."""
+    engine.ingest_batch(items(spark), now=0.0)
+    seen, load, postings, totals = [], engine.store.load, engine.store.postings, engine.store.totals
+    want = engine.search_many(["newer words", "billing"], 3).collect()
+
+    def between(read):
+        def run(version=None):
+            seen.append(version)
+            out = read(version)
+            engine.add_chunks(page(spark, f"http://new/{len(seen)}", 1, 7).withColumn("content", F.lit("newer words billing")).drop("embedding"))
+            return out
+
+        return run
+
+    for name, read in (("load", load), ("postings", postings), ("totals", totals)):
+        monkeypatch.setattr(engine.store, name, between(read))
+    assert engine.search_many(["newer words", "billing"], 3).collect() == want
+    assert len(seen) >= 3 and len(set(seen)) == 1 and None not in seen
+
+
+def test_single_ingest_and_agent(spark, engine):
+    pages = {"http://ok/": ARTICLE, "http://empty/": "<html></html>"}
+
+    def fetch(url):
+        if url not in pages:
+            raise web.BlockedAddress(f"{url} has a non-public address")
+        return pages[url]
+
+    engine.fetch = fetch
+    done = engine.ingest("http://ok/", now=0.0)
+    assert (done["source"], done["title"], done["chunks_indexed"]) == ("http://ok/", "The Title", 1)
+    assert engine.ingest(html="<p>given words", source_url="s://x", now=9.0)["chunks"][0]["content"] == "given words"
+    with pytest.raises(BadRequest):
+        engine.ingest(html="<p>no source")
+    with pytest.raises(web.BlockedAddress):
+        engine.ingest("http://inner/", now=30.0)
+    with pytest.raises(NoContent):
+        engine.ingest("http://empty/", now=60.0)
+    agent = Agent(engine)
+    got = [agent.ingest(u)["status"] for u in ("http://ok/", "http://inner/", "http://empty/", "")]
+    assert got == ["ok", "fetch_error", "extract_error", "error"]
+    found = agent.search("given words")
+    assert found[0]["source"] == "s://x" and set(found[0]) == {"content", "source", "confidence"} and len(found) == 4
+    batch = spark.createDataFrame([(0, "http://ok/", None, None), (1, None, "<p>more", "s://y"), (2, "http://inner/", None, None), (3, None, None, None)], "item int, url string, html string, source_url string")
+    engine.limiter = limiter.Bucket(0, 60)
+    assert [r["status"] for r in agent.ingest_many(batch)] == ["ok", "ok", "fetch_error", "fetch_error"]
+    engine.store.upsert = lambda chunks: 1 / 0
+    assert [r["status"] for r in agent.ingest_many(batch)] == ["error", "error", "fetch_error", "fetch_error"]
+    assert agent.ingest("http://ok/")["status"] == "error"
+
+
+def test_chunk_settings_hold_for_every_way_in(spark, tmp_path):
+    e = Engine(spark, config.load(None, {"LANTERNFISH_DOCS_PATH": str(tmp_path / "none"), "LANTERNFISH_INDEX_DIR": str(tmp_path / "i"), "LANTERNFISH_CHUNK_SIZE": "2", "LANTERNFISH_CHUNK_OVERLAP": "0"}))
+    rows = spark.createDataFrame([(0, "s", "<p>a b c d e</p>", None)], "item int, source string, html string, fetch_error string")
+    assert e.ingest_batch(rows).first()["chunks_indexed"] == 3 and e.store.totals()[0] == 3
+
+
 def test_engine_without_documents(spark, tmp_path):
     e = Engine(spark, config.load(None, {"LANTERNFISH_DOCS_PATH": str(tmp_path / "none"), "LANTERNFISH_INDEX_DIR": str(tmp_path / "i"), "LANTERNFISH_API_KEYS": "k1,k2"}))
     assert e.search("anything").count() == 0
