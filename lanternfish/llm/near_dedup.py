@@ -253,9 +253,10 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
     families = connected_components(stars)
     members = classes.select("node", "n", "one").join(families.select("node", F.col("component").alias("family")), "node")
     members = materialize(members.select("node", "n", F.col("one.key").alias("r_key"), F.col("one.finger").alias("r_finger"), "family"), "families")
-    # Merge join at every size: members grow with the input. Rows that repeat a key and a text come together again by node.
+    # Shuffled at every size, as members grow with the input; texts stream past the members' hash table and are not
+    # sorted. Rows that repeat a key and a text come together again by node.
     met = (F.col("r_finger") == F.col("finger")) & F.col("r_key").eqNullSafe(F.col("key"))
-    texts = members.select("node", "r_key", "r_finger").join(prepared.hint("merge"), met).select("node", "text")
+    texts = prepared.join(members.select("node", "r_key", "r_finger").hint("shuffle_hash"), met).select("node", "text")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(texts.mapInArrow(lean(_shingle), "node long, shingles binary"), "shingles")
     shingles = members.agg(F.sum("n")).first()[0] or 0
