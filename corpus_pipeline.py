@@ -65,7 +65,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = F.xxhash64(F.col("doc_id").cast("long"), "finger").alias("mark")
     first = groups.filter("kept AND group IS NOT NULL").select("group", mark).groupBy("group").agg(F.min("mark").alias("mark"))
     empty = ~F.coalesce(F.col(names["text"]), F.lit("")).rlike(mixing.WORD)
-    some = rows.filter(~empty).join(first.select("mark").hint("merge"), "mark", "left_semi").dropDuplicates(["mark"])
+    some = rows.filter(~empty).join(first.select("mark").hint("shuffle_hash"), "mark", "left_semi").dropDuplicates(["mark"])
     return _named(some.unionByName(rows.filter(empty)), names)
 
 
@@ -75,7 +75,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = decontamination.contaminated(docs.select("doc_id", "text"), bench)
     leaked = found.select(F.xxhash64(F.col("doc_id").cast("long"), "finger").alias("mark")).distinct()
     rows, names = _marked(docs)
-    return _named(rows.join(leaked.hint("merge"), "mark", "left_anti"), names)
+    return _named(rows.join(leaked.hint("shuffle_hash"), "mark", "left_anti"), names)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
