@@ -28,9 +28,11 @@ def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: f
         words = bm25.lookup(index, n, mean, queries, keys)
         stats = chunks.sparkSession.createDataFrame([(n, total, mean)], "n long, total_length long, avgdl double")
     ends = bm25.spread(words, stats, queries)
-    near = vector.cosine(chunks, queries, keys).withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0)))
-    alone = vector.rank(near, F.round(F.lit(wv) * F.col("vector_score"), 9), keys, k).drop("rank").join(words, ["qid", *keys], "left_anti")
-    both = words.join(near, ["qid", *keys]).unionByName(alone, allowMissingColumns=True).join(F.broadcast(ends), "qid")
+    asked = [(r["qid"], r["query_vec"]) for r in queries.select("qid", "query_vec").collect()]  # a request: bounded by its limits
+    best = vector.top_cosine(chunks, asked, keys, k, weight=wv, missing=True)
+    alone = best.select("qid", *(F.col(c).cast(chunks.schema[c].dataType).alias(c) for c in keys), "vector_score").join(words, ["qid", *keys], "left_anti")
+    met = vector.pair_cosine(words.join(chunks.select(*keys, "embedding"), keys), asked)
+    both = met.unionByName(alone, allowMissingColumns=True).join(F.broadcast(ends), "qid")
     keyword = scoring.min_max(F.coalesce("score", F.lit(0.0)), F.col("low"), F.col("high"))
     fused = both.select("qid", *keys, "vector_score", keyword.alias("keyword_score")).withColumn("confidence", scoring.fuse(F.col("vector_score"), F.col("keyword_score"), wv, wk))
     return vector.rank(fused, F.round("confidence", 9), keys, k)
