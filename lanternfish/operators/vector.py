@@ -29,6 +29,8 @@ def top_cosine(chunks: DataFrame, queries: list[tuple[int, list[float]]], key: s
     carries tasks * queries * k narrow rows whatever the corpus.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if not queries:
+        return chunks.sparkSession.createDataFrame([], f"qid long, {', '.join(f'{c} long' for c in keys)}, vector_score double, rank int")
     ids = [q for q, _ in queries]
     matrix = np.array([v for _, v in queries], dtype=np.float64)
     # A broadcast lives in a file of the driver; a closure would keep the matrix in its memory with the plan.
