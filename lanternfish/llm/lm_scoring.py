@@ -11,7 +11,9 @@ The automaton grows with the corpus, so no machine holds it. Documents are packe
 once. Each batch sends the sorted, delta-coded hashes of its distinct n-grams with its training counts to shards of
 the hash space; each shard sums them and answers every batch with the counts of just what it asked for, in its
 order. From these a batch builds the part of the automaton that its texts can reach, and walks them.
-Frequent words cost no more than one entry a batch, so there is no hot key.
+Frequent words cost no more than one entry a batch, so there is no hot key. Cells are packed and read by whole-array
+steps: rows of the exchange are batches x shards until a row holds a single hash, and Python does not see them one
+by one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +44,59 @@ END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LEAST_BITS, MISS_BITS = 44, 12
 
 
-def pack(values: np.ndarray) -> bytes:
-    """uint64 values as compressed byte planes."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def pack(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """uint64 values as one binary cell for each run between edges: 7 bits a byte, the last byte of a value below 128.
 
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unpack(data, n), dtype=np.uint64)
+    All cells are made by whole-array steps, so that short cells cost no more a value than long ones.
+    """
+    size = np.ones(len(values), dtype=np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        size += more
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(ends[-1]), dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        out[ends[live] + k] = (values[live] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | (size[live] > k + 1).astype(np.uint8) << 7
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(ends[edges]), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack(cells: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The values of all cells, one cell after the other."""
+    if isinstance(cells, pa.ChunkedArray):
+        return np.concatenate([np.zeros(0, np.uint64), *(unpack(c) for c in cells.chunks)])
+    if not len(cells):
+        return np.zeros(0, np.uint64)
+    cells = cells.cast(pa.large_binary())
+    _, offsets, data = cells.buffers()
+    low, high = np.frombuffer(offsets, dtype=np.int64)[[cells.offset, cells.offset + len(cells)]]
+    if low == high:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(data, dtype=np.uint8)[low:high]
+    ends = np.flatnonzero(data < 128)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    size = ends - begins + 1
+    values = (data[begins] & 127).astype(np.uint64)
+    for k in range(1, int(size.max())):
+        live = np.flatnonzero(size > k)
+        values[live] |= (data[begins[live] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return values
+
+
+def pack_sorted(keys: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """As pack(), for sorted keys: a cell has its first key, then differences. No run is empty."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[edges[:-1]] = keys[edges[:-1]]
+    return pack(steps, edges)
+
+
+def unpack_sorted(cells: pa.ChunkedArray | pa.Array, n: np.ndarray) -> np.ndarray:
+    """The keys of cells of n keys each."""
+    total = np.cumsum(unpack(cells), dtype=np.uint64)
+    firsts = np.cumsum(n) - n
+    return total - np.repeat(np.concatenate([[np.uint64(0)], total])[firsts], n)
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +265,9 @@ def _bytes_of(table: pa.Table) -> list[bytes]:
     return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
-def shard_edges(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where each shard's keys begin and end among the sorted keys."""
-    return np.searchsorted(keys, np.array([(s << bits) // shards for s in range(shards)], dtype=np.uint64)).tolist() + [len(keys)]
+def shard_starts(bits: int, shards: int) -> np.ndarray:
+    """The least hash of each shard, of hashes of some bits."""
+    return np.array([(s << bits) // shards for s in range(shards)], dtype=np.uint64)
 
 
 def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -279,38 +316,36 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
     packed = packed.select("batch", "blob")
 
     def ask(batches):
-        kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        starts = {b: shard_starts(b, shards) for b in (64, bits)}
         for cells in batches:
             for batch, blob in zip(*(c.to_pylist() for c in cells.columns), strict=True):
                 own = _texts(blob)
                 learn = np.array(own.column("train").to_pylist(), dtype=bool)
-                out = []
                 for k, (keys, count) in enumerate(count_runs(_bytes_of(own), learn, bits)):
-                    edges = shard_edges(keys, bits if k else 64, shards)
-                    out += [(batch, s, k, b - a, pack_sorted(keys[a:b]), pack(count[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], names=["batch", "shard", "kind", "n", "keys", "counts"])
+                    edges = np.append(np.searchsorted(keys, starts[bits if k else 64]), len(keys))
+                    shard = np.flatnonzero(np.diff(edges))
+                    if not len(shard):
+                        continue
+                    edges = np.append(edges[shard], len(keys))
+                    named = (np.full(len(shard), batch), shard.astype(np.int32), np.full(len(shard), k, np.int32), np.diff(edges).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, named), pack_sorted(keys, edges), pack(count, edges)], names=["batch", "shard", "kind", "n", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        out = []
         shard = table.column("shard")[0].as_py()
-        kinds = np.array(table.column("kind").to_pylist())
+        kinds, out = table.column("kind").to_numpy(), []
+        names = ["batch", "shard", "kind", "n", "counts", "tokens", "words"]
         for k in range(3):
-            own = table.take(np.flatnonzero(kinds == k)).to_pylist()
-            if not own:
-                continue
-            keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in own])
-            count = np.concatenate([unpack(r["counts"], r["n"]) for r in own])
-            _, _, inverse = index_distinct(keys)
-            del keys
-            total = np.bincount(inverse, count).astype(np.uint64)
-            low = 0
-            for r in own:
-                out.append((r["batch"], shard, k, r["n"], pack(total[inverse[low : low + r["n"]]]), 0, 0))
-                low += r["n"]
+            own = table.take(np.flatnonzero(kinds == k))
+            n = own.column("n").to_numpy().astype(np.int64)
+            _, _, inverse = index_distinct(unpack_sorted(own.column("keys"), n))
+            total = np.bincount(inverse, unpack(own.column("counts"))).astype(np.uint64)
+            none = pa.array(np.zeros(len(n), np.int64))
+            same = [own.column(c).combine_chunks() for c in names[:4]]
+            out.append(pa.Table.from_arrays([*same, pack(total[inverse], np.append(0, np.cumsum(n))), none, none], names=names))
             if k == 0:
-                out.append((-1, shard, k, 0, b"", int(total.sum()), int((total > 0).sum())))
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["batch", "shard", "kind", "n", "counts", "tokens", "words"])
+                sums = ([-1], [shard], [k], [0], [b""], [int(total.sum())], [int((total > 0).sum())])
+                out.append(pa.Table.from_arrays([pa.array(v, t) for v, t in zip(sums, out[0].schema.types, strict=True)], names=names))
+        return pa.concat_tables(out)
 
     asked = packed.mapInArrow(lean(ask), "batch long, shard int, kind int, n int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(lean(answer), "batch long, shard int, kind int, n int, counts binary, tokens long, words long")
@@ -322,9 +357,11 @@ def score(df: DataFrame, train, text: str = "text", key: str = "doc_id") -> Data
     def traverse(packed_: pa.Table, counts: pa.Table) -> pa.Table:
         own = _texts(packed_.column("blob")[0].as_py())
         grams = Grams(_bytes_of(own), bits)
-        found = sorted(counts.select(["kind", "shard", "n", "counts"]).to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        seen = [np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], r["n"]) for r in found if r["kind"] == k)]) for k in range(3)]
-        del found
+        kinds, shard = counts.column("kind").to_numpy(), counts.column("shard").to_numpy()
+        seen = []
+        for k in range(3):
+            at = np.flatnonzero(kinds == k)
+            seen.append(unpack(counts.column("counts").take(at[np.argsort(shard[at])])))
         machine = Automaton(grams, seen, total, words, docs)
         value = machine.walk(grams)
         word, inner = grams.of[0], grams.of[0] >= 0

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanternfish.llm import decontamination, exact_dedup, html_render, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts, url_filters
@@ -586,10 +587,21 @@ def test_lm_automaton_is_a_distribution():
         assert math.isclose((10**weight).sum(), 1.0), state
 
 
-def test_packing():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(keys), len(keys)) == keys).all()
-    assert lm_scoring.unpack(lm_scoring.pack(keys[:0]), 0).size == 0
+@pytest.mark.parametrize("cell", [1, 7, 1000])
+def test_packing(cell):
+    """Keys and counts of all widths come back, in cells of one value as in one cell; of taken cells just their own."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 990, dtype=np.uint64), np.array([0, 1, 127, 128, 1 << 63, 2**64 - 1], np.uint64)]))
+    values = keys[rng.permutation(len(keys))] >> rng.integers(0, 64, len(keys)).astype(np.uint64)
+    edges = np.append(np.arange(0, len(keys), cell), len(keys))
+    n = np.diff(edges)
+    assert (lm_scoring.unpack_sorted(lm_scoring.pack_sorted(keys, edges), n) == keys).all()
+    cells = lm_scoring.pack(values, edges)
+    assert (lm_scoring.unpack(cells) == values).all()
+    assert (lm_scoring.unpack(cells[len(n) // 2 :]) == values[edges[len(n) // 2] :]).all()
+    assert (lm_scoring.unpack(pa.chunked_array([cells[:0], cells, cells[1:]])) == np.concatenate([values, values[edges[1] :]])).all()
+    none = lm_scoring.pack(values[:0], np.zeros(1, np.int64))
+    assert len(none) == 0 and lm_scoring.unpack(none).size == 0 and lm_scoring.unpack_sorted(none, n[:0]).size == 0
 
 
 # -- near-dedup ----------------------------------------------------------------------------------------
