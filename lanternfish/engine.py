@@ -14,7 +14,7 @@ from lanternfish import config as configuration
 from lanternfish.functions import guards, text
 from lanternfish.operators import bm25, chunking, embed, hybrid, ingest, limiter, store
 from lanternfish.schema import EVIDENCE_VERSION
-from lanternfish.sources import markdown, web
+from lanternfish.sources import markdown, tables, web
 
 log = logging.getLogger(__name__)
 KEYS = ["layer", "pos", "row"]
@@ -108,7 +108,7 @@ class Engine:
         if len(queries) > s.max_batch_queries or any(len(q) > s.max_query_chars for q in queries):
             raise ValueError("too many or too long queries")
         vectors = self.backend.encode(list(queries)).tolist() if queries else []
-        rows = self.spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(queries, vectors, strict=True))], "qid long, query string, query_vec array<float>")
+        rows = tables.local(self.spark, [range(len(queries)), queries, vectors], "qid long, query string, query_vec array<float>")
         version = self.store.version()
         corpus = self.corpus(version)
         best = hybrid.search(corpus.select(*KEYS, "content", "embedding"), rows, KEYS, k, s.vector_weight, s.keyword_weight, self._index(rows, version), self.totals(version))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions import scoring, text
+from lanternfish.sources import tables
 
 
 def term_counts(chunks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -134,7 +135,7 @@ def score_chunks(chunks: DataFrame, keys: list[str], queries: DataFrame, content
     r = cut.agg(F.count("*").alias("n"), *counts).first()
     n, total = r["n"], r["total"]
     avgdl = total / n if n else 0.0
-    known = chunks.sparkSession.createDataFrame([(n, total, avgdl)], "n long, total_length long, avgdl double")
+    known = tables.local(chunks.sparkSession, [[n], [total], [avgdl]], "n long, total_length long, avgdl double")
     found = _weigh(matches(chunks, keys, queries, content), n, avgdl, {t: r[f"t{k}"] for k, t in enumerate(terms)}, asked, keys)
     return found, known
 
@@ -142,7 +143,7 @@ def score_chunks(chunks: DataFrame, keys: list[str], queries: DataFrame, content
 def spread(scores: DataFrame, stats_: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, low, high over the whole corpus, where a chunk without a match has 0. Needs only the matches."""
     found = scores.groupBy("qid").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("m"))
-    out = queries.select("qid").join(found, "qid", "left").crossJoin(F.broadcast(stats_.select("n")))
+    out = queries.select("qid").join(F.broadcast(found), "qid", "left").crossJoin(F.broadcast(stats_.select("n")))
     some = F.coalesce(F.col("m"), F.lit(0)) < F.col("n")
     zero = lambda f, c: F.when(some, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
     return out.select("qid", zero(F.least, "low").alias("low"), zero(F.greatest, "high").alias("high"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanternfish.functions import scoring
 from lanternfish.operators import bm25, vector
 from lanternfish.schema import DEFAULT_TYPE, EVIDENCE_VERSION, UNKNOWN_SOURCE
+from lanternfish.sources import tables
 
 
 def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: f
         n, total = totals
         mean = total / n if n else 0.0
         words = bm25.lookup(index, n, mean, queries, keys)
-        stats = chunks.sparkSession.createDataFrame([(n, total, mean)], "n long, total_length long, avgdl double")
+        stats = tables.local(chunks.sparkSession, [[n], [total], [mean]], "n long, total_length long, avgdl double")
     ends = bm25.spread(words, stats, queries)
     asked = [(r["qid"], r["query_vec"]) for r in queries.select("qid", "query_vec").collect()]  # a request: bounded by its limits
     best = vector.top_cosine(chunks, asked, keys, k, weight=wv, missing=True)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -15,3 +18,12 @@ def read(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     df = df.select(*columns) if columns else df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+
+
+def local(spark: SparkSession, columns: list, schema: str) -> DataFrame:
+    """A few rows of the driver as part of the plan: no job reads them, and their size is known when joins are planned.
+
+    columns: the values of each column of schema.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds), schema)
