@@ -219,6 +219,12 @@ def test_extract():
     assert article.extract("<p>x", None)["title"] == "untitled"
 
 
+def test_entities_end_with_a_semicolon():
+    got = article.extract("<title>a &amp; b&amp</title><article><p>x&ampy &notit; &copy; &#65;&am<p>&middot;&amp</article>", "u")
+    assert got["title"] == "a & b&amp"
+    assert got["content"] == "x&ampy &notit; © A&am\n\n·&amp"
+
+
 class Reply:
     def __init__(self, body):
         self.body = body
