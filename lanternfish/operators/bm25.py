@@ -15,6 +15,14 @@ from lanternfish.functions import scoring, text
 from lanternfish.sources import tables
 
 
+def _runs(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
+    """keys, term, tf: equal tokens of each row, counted within it as runs of its sorted array. No shuffle."""
+    first = F.transform("_s", lambda t, i: F.when((i == 0) | (t != F.get("_s", i - 1)), i))
+    starts = rows.select(*keys, F.sort_array(tokens).alias("_s")).select(*keys, "_s", F.filter(first, lambda i: i.isNotNull()).alias("_at"))  # a filter here would cut tokens twice
+    run = lambda i, k: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - i).cast("long").alias("tf"))
+    return starts.select(*keys, F.inline(F.transform("_at", run)))
+
+
 def term_counts(chunks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, term, tf: repeats within a chunk counted. A chunk's tokens are in one row, so all is combined before the shuffle."""
     return chunks.select(*keys, F.explode(text.tokens(F.col(content))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -26,16 +34,16 @@ def lengths(chunks: DataFrame, keys: list[str], content: str = "content") -> Dat
 
 
 def postings(chunks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """keys, term, tf, dl of every chunk with tokens."""
+    """keys, dl, term, tf of every chunk with tokens; keys name a chunk. No shuffle."""
     cut = chunks.select(*keys, text.tokens(F.col(content)).alias("_t"))
-    return cut.select(*keys, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    return _runs(cut.withColumn("dl", F.size("_t").cast("long")), [*keys, "dl"], "_t")
 
 
 def of_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
     """The rows of a stored index that a batch of queries needs.
 
-    The terms become literals of the plan, so Parquet skips row groups of the postings, which are sorted by
-    term. Their number is bounded by the request limits.
+    The terms become literals of the plan, so Parquet skips row groups and pages of the postings, each file of which
+    is sorted by term. Their number is bounded by the request limits.
     """
     terms = [r["term"] for r in query_terms(queries).select("term").distinct().collect()]
     return index.filter(F.col("term").isin(terms)) if terms else index.limit(0)
@@ -74,10 +82,13 @@ def idf_table(frequency: DataFrame, stats_: DataFrame) -> DataFrame:
 
 def matches(chunks: DataFrame, keys: list[str], queries: DataFrame, content: str = "content") -> DataFrame:
     """Postings of the query terms only, straight from chunks. Queries are bounded by the request limits."""
-    wanted = F.broadcast(query_terms(queries).select("term").distinct())
+    return _matches(chunks, keys, list(_asked(queries)), content)
+
+
+def _matches(chunks: DataFrame, keys: list[str], terms: list[str], content: str) -> DataFrame:
     cut = chunks.select(*keys, text.tokens(F.col(content)).alias("_t"))
-    long = cut.select(*keys, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
-    return long.join(wanted, "term", "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = F.filter("_t", lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    return _runs(cut.select(*keys, F.size("_t").cast("long").alias("dl"), wanted.alias("_w")), [*keys, "dl"], "_w")
 
 
 def score(index: DataFrame, stats_: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,7 +147,7 @@ def score_chunks(chunks: DataFrame, keys: list[str], queries: DataFrame, content
     n, total = r["n"], r["total"]
     avgdl = total / n if n else 0.0
     known = tables.local(chunks.sparkSession, [[n], [total], [avgdl]], "n long, total_length long, avgdl double")
-    found = _weigh(matches(chunks, keys, queries, content), n, avgdl, {t: r[f"t{k}"] for k, t in enumerate(terms)}, asked, keys)
+    found = _weigh(_matches(chunks, keys, terms, content), n, avgdl, {t: r[f"t{k}"] for k, t in enumerate(terms)}, asked, keys)
     return found, known
 
 

@@ -215,7 +215,7 @@ class SegmentedStore:
             return None
         if r["low"] != r["high"] or r["low"] < 0:
             raise ValueError(f"chunks and vectors don't match: widths from {r['low']} to {r['high']}")
-        bm25.postings(done, ["source", "row"]).sort("term").write.parquet(self._path(name, "postings"))
+        bm25.postings(done, ["source", "row"]).sortWithinPartitions("term").write.parquet(self._path(name, "postings"))
         return {"name": name, "removes": False, "n": r["n"], "dl": r["dl"]}
 
     def upsert(self, chunks: DataFrame) -> None:

@@ -468,3 +468,13 @@ def test_layers(spark):
     docs = spark.createDataFrame([("a", "x")], "source string, content string")
     got = chunking.layers(docs, docs.withColumn("title", F.lit("t"))).orderBy("layer").collect()
     assert [(r["layer"], r["title"]) for r in got] == [(0, None), (1, "t")]
+
+
+def test_postings_of_a_segment_are_sorted_by_term_in_each_file(spark, tmp_path):
+    s = store.SegmentedStore(spark, f"{tmp_path}/s")
+    s.upsert(spark.createDataFrame([(str(k), f"s{k % 3}", f"w{k % 7} a{k} z", "web", 0) for k in range(40)], "id string, source string, content string, type string, order int").repartition(2))
+    files = list((tmp_path / "s").glob("seg-*/postings/*.parquet"))
+    assert files and len(files) <= len(list((tmp_path / "s").glob("seg-*/chunks/*.parquet")))
+    for f in files:
+        terms = [r["term"] for r in spark.read.parquet(str(f)).select("term").coalesce(1).collect()]
+        assert terms == sorted(terms)

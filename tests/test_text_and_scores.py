@@ -241,3 +241,20 @@ def test_requests_and_responses(spark):
     assert r["b"] == "a�b" and r["b9"] is None
     hosts = spark.createDataFrame([("a", "8.8.8.8"), ("a", "10.0.0.1"), ("b", "8.8.8.8"), ("c", None)], "host string, ip string")
     assert {(x["host"], x["blocked"]) for x in guards.blocked_host(hosts).collect()} == {("a", True), ("b", False), ("c", False)}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_counted_within_rows(spark):
+    texts = ["b a b _ ä", "", None, "x", "a a A " * 300]
+    c = spark.createDataFrame(list(enumerate(texts)), "pos long, content string").repartition(3).localCheckpoint()
+    want = {(0, "b", 2, 5), (0, "a", 1, 5), (0, "_", 1, 5), (0, "ä", 1, 5), (3, "x", 1, 1), (4, "a", 900, 900)}
+    index = bm25.postings(c, ["pos"])
+    assert {(r["pos"], r["term"], r["tf"], r["dl"]) for r in index.collect()} == want and index.count() == len(want)
+    q = spark.createDataFrame([(1, "A zz"), (2, "b a")], "qid long, query string")
+    found = bm25.matches(c, ["pos"], q)
+    assert {(r["pos"], r["term"], r["tf"], r["dl"]) for r in found.collect()} == {w for w in want if w[1] in "ab"}
+    assert bm25.matches(c, ["pos"], q.filter("qid > 2")).count() == 0
+    assert "Exchange" not in shuffles(index) and "Exchange" not in shuffles(found)
