@@ -11,10 +11,11 @@ from lanternfish.schema import DEFAULT_TYPE, EVIDENCE_VERSION, UNKNOWN_SOURCE
 from lanternfish.sources import tables
 
 
-def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: float = 0.65, wk: float = 0.35, index: DataFrame | None = None, totals: tuple[int, int] | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """qid, rank, keys, confidence, vector_score, keyword_score of each query's k best chunks.
 
-    chunks: keys, content, embedding (null: cosine 0). queries: qid, query, query_vec; bounded by the request limits.
+    chunks: keys, content, embedding (null: cosine 0); or the embedding is in vectors, one a document, by some of the
+    keys, and only keys travel to it. queries: qid, query, query_vec; bounded by the request limits.
     Ties go by keys, which give corpus order. index, totals: stored postings, and the numbers of chunks and tokens;
     made from chunks if absent. Content stays behind: join it back to the k winners with materialise().
 
@@ -30,9 +31,14 @@ def search(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int, wv: f
         stats = tables.local(chunks.sparkSession, [[n], [total], [mean]], "n long, total_length long, avgdl double")
     ends = bm25.spread(words, stats, queries)
     asked = [(r["qid"], r["query_vec"]) for r in queries.select("qid", "query_vec").collect()]  # a request: bounded by its limits
-    best = vector.top_cosine(chunks, asked, keys, k, weight=wv, missing=True)
+    if vectors is None:
+        placed, paired = chunks, words.join(chunks.select(*keys, "embedding"), keys)
+    else:
+        on = [c for c in keys if c in vectors.columns]
+        placed, paired = chunks.select(*keys).join(vectors, on, "left"), words.join(vectors, on, "left")
+    best = vector.top_cosine(placed, asked, keys, k, weight=wv, missing=True)
     alone = best.select("qid", *(F.col(c).cast(chunks.schema[c].dataType).alias(c) for c in keys), "vector_score").join(words, ["qid", *keys], "left_anti")
-    met = vector.pair_cosine(words.join(chunks.select(*keys, "embedding"), keys), asked)
+    met = vector.pair_cosine(paired, asked)
     both = met.unionByName(alone, allowMissingColumns=True).join(F.broadcast(ends), "qid")
     keyword = scoring.min_max(F.coalesce("score", F.lit(0.0)), F.col("low"), F.col("high"))
     fused = both.select("qid", *keys, "vector_score", keyword.alias("keyword_score")).withColumn("confidence", scoring.fuse(F.col("vector_score"), F.col("keyword_score"), wv, wk))

@@ -258,3 +258,13 @@ def test_postings_are_counted_within_rows(spark):
     assert {(r["pos"], r["term"], r["tf"], r["dl"]) for r in found.collect()} == {w for w in want if w[1] in "ab"}
     assert bm25.matches(c, ["pos"], q.filter("qid > 2")).count() == 0
     assert "Exchange" not in shuffles(index) and "Exchange" not in shuffles(found)
+
+
+def test_vectors_of_documents_apart_from_chunks(spark):
+    texts = ["released under the MIT license", "plain words", "the MIT way", "more words"]
+    c = spark.createDataFrame([(k // 2, k % 2, t) for k, t in enumerate(texts * 3)], "doc_id long, ord int, content string")
+    v = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(0, 6, 2)], "doc_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, "MIT license", [0.0, 1.0]), (2, "none", [1.0, 0.0])], "qid long, query string, query_vec array<float>")
+    want = hybrid.search(c.join(v, "doc_id", "left"), q, ["doc_id", "ord"], 7)
+    got = hybrid.search(c, q, ["doc_id", "ord"], 7, vectors=v)
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[n] for n in got.columns) for r in want.collect())
