@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternfish.functions import text
+from lanternfish.sources import tables
 
 
 class Backend(Protocol):
@@ -57,6 +58,7 @@ class Model:
 
 def encode(df: DataFrame, backend: Backend, content: str = "content", out: str = "embedding") -> DataFrame:
     """df with the vector of each text; batches of Arrow rows go through one encode call."""
+    tables.small_batches(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

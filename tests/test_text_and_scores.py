@@ -268,3 +268,30 @@ def test_vectors_of_documents_apart_from_chunks(spark):
     want = hybrid.search(c.join(v, "doc_id", "left"), q, ["doc_id", "ord"], 7)
     got = hybrid.search(c, q, ["doc_id", "ord"], 7, vectors=v)
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[n] for n in got.columns) for r in want.collect())
+
+
+@pytest.mark.parametrize("of", ["texts", "pages"])
+def test_arrow_batches_of_texts_are_small(spark, of):
+    from lanternfish.operators import ingest
+
+    class Sizes:
+        dimension = 1
+
+        def encode(self, texts):
+            import numpy as np
+
+            return np.full((len(texts), 1), len(texts), dtype=np.float32)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        rows = spark.range(1200).repartition(1).selectExpr("id", "'<p>x' AS html", "'u' AS url", "'x' AS content")
+        if of == "texts":
+            sizes = embed.encode(rows, Sizes()).selectExpr("max(embedding[0])").first()[0]
+            assert sizes <= 500
+        else:
+            assert ingest.extract(rows.drop("content")).filter("content = 'x'").count() == 1200
+        assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, old)
